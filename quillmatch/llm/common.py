@@ -20,6 +20,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def pinned(value: Column) -> Column:
+    """value, computed once where it stands: the optimiser moves no filter below it and copies it into nothing above.
+
+    Without this a filter on a column made of it would be rewritten to compute it anew, even once per element.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, else one below /tmp (local runs)."""
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillmatch"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillmatch.llm import sharding
+from quillmatch.llm import decontaminate, sharding
 from quillmatch.llm.common import table
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+
+
 def op9_jump_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -15,4 +19,25 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4_SQL}
+
+
+#: Every window of every item against every position of every document.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), w AS (
+  SELECT DISTINCT item, least(13, len(ws)) AS n, array_to_string(ws[p + 1 : p + least(13, len(ws))], ' ') AS w
+  FROM (SELECT item, ws, unnest(range(0, greatest(len(ws) - 12, 1))) AS p FROM b WHERE len(ws) > 0)
+), pl AS (
+  SELECT doc_id, n, p, array_to_string(ws[p + 1 : p + n], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)
+), h AS (SELECT doc_id, p, pl.n, item FROM pl JOIN w ON pl.w = w.w AND pl.n = w.n
+), pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1
+), it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
