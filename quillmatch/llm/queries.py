@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillmatch.llm import decontaminate, sharding
+from pyspark.sql import functions as F
+
+from quillmatch.llm import decontaminate, packing, sharding, url_rules
 from quillmatch.llm.common import table
 
 
@@ -10,6 +12,20 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
 
 
+def op7_pack(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), length=2048, end_id=1)
+
+
+#: verdict, host, path
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_rules(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES, min_support=0.002, min_confidence=0.6)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_confidence")
+
+
 def op9_jump_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
