@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmatch.llm import decontaminate, packing, sharding, url_rules
-from quillmatch.llm.common import table
+from quillmatch.llm import decontaminate, materialise, packing, sharding, token_counts, topk, url_rules
+from quillmatch.llm.common import scratch, table
+
+
+def op3_training_order(spark, sf_dir):
+    return materialise.materialise(table(spark, sf_dir, "documents"), scratch(spark, "shards"), key=20240229, length=2048, shard_sequences=8192)
 
 
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
 
 
+def op5_topk(spark, sf_dir):
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_pack(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), length=2048, end_id=1)
 
@@ -30,12 +38,16 @@ def op9_jump_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_document_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL}
 
 
 #: Every window of every item against every position of every document.
@@ -57,3 +69,16 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
+
+#: Every query against every row.
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
