@@ -1,7 +1,8 @@
 """Token ids on the executors: one tokenizer a worker, with a bounded cache of what it says of each chunk of text.
 
 The vocabulary file's own rules drop white space and cut at it, so a text's ids are those of its chunks in order.
-A chunk of Latin letters, or of them and closing punctuation, is found by its lower-case letters and its punctuation.
+A chunk of Latin letters, or of them and ASCII punctuation, is just these two pieces to the vocabulary's rules, the
+letters in lower case; they go to its merges directly. Any other chunk takes the whole way.
 """
 
 from __future__ import annotations
@@ -12,7 +13,14 @@ import re
 
 import numpy as np
 
-_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Of byte-level vocabularies: the letter that stands for each byte; printable bytes stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,17 +33,23 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class ChunkTokenizer(dict):
     """chunk -> tuple of ids. Emptied when it holds `limit` chunks; that changes no id."""
 
-    def __init__(self, path: str | None = None, specials_as_text: bool = False, limit: int = 250_000):
+    def __init__(self, path: str | None = None, specials_as_text: bool = False, limit: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path or default_path())
         self._t.encode_special_tokens = specials_as_text
-        self._limit, self._words = limit, {}
+        self._merge, self._letters = self._t.model.tokenize, _byte_letters()
+        self._limit, self._words, self._ints = limit, {}, list(range(self._t.get_vocab_size()))
 
     def _encode(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self._t.encode(chunk, add_special_tokens=False).ids)
+        return tuple([self._ints[i] for i in self._t.encode(chunk, add_special_tokens=False).ids])
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
+        return tuple([self._ints[t.id] for t in self._merge(piece)])
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) >= self._limit:
@@ -43,12 +57,14 @@ class ChunkTokenizer(dict):
         if len(self._words) >= self._limit:
             self._words.clear()
         if m := _LATIN.fullmatch(chunk):
-            found: tuple[int, ...] = ()
-            for part in m.groups():
-                if part := part.lower():
-                    if (ids := self._words.get(part)) is None:
-                        ids = self._words[part] = self._encode(part)
-                    found += ids
+            word, marks = m.groups()
+            word = word.lower()
+            if (found := self._words.get(word)) is None:
+                found = self._words[word] = self._piece(word)
+            if marks:
+                if (more := self._words.get(marks)) is None:
+                    more = self._words[marks] = self._piece(marks)
+                found += more
         else:
             found = self._encode(chunk) if chunk else ()
         if len(chunk) <= 64:
