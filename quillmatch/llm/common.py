@@ -43,7 +43,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes what written() made."""
+    drop_path(df.sparkSession, df.written_to)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

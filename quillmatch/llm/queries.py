@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmatch.llm import decontaminate, materialise, packing, sharding, token_counts, topk, url_rules
+from quillmatch.llm import chat, decontaminate, materialise, minhash, packing, resample, sharding, token_counts, topk, url_rules
 from quillmatch.llm.common import scratch, table
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op2_resample(spark, sf_dir):
+    return resample.select_documents(table(spark, sf_dir, "documents"), resample.good_labels(table(spark, sf_dir, "labels")))
+
+
 def op3_training_order(spark, sf_dir):
     return materialise.materialise(table(spark, sf_dir, "documents"), scratch(spark, "shards"), key=20240229, length=2048, shard_sequences=8192)
 
@@ -20,6 +28,11 @@ def op5_topk(spark, sf_dir):
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op6_preferences(spark, sf_dir):
+    out = chat.format_preferences(chat.answer_swaps(chat.conversations(table(spark, sf_dir, "conversations"))))
+    return out.withColumns({c: chat.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op7_pack(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), length=2048, end_id=1)
 
@@ -47,7 +60,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL}
 
 
 #: Every window of every item against every position of every document.
@@ -82,3 +95,49 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+#: Turns numbered by a window, the first unequal number by a join, and running sums for the spans.
+OP6_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t
+), l AS (SELECT conv_id, max(k) AS k, arg_max(text, k) AS answer FROM m WHERE role = 'assistant' GROUP BY 1
+), n AS (
+  SELECT conv_id AS pair_id, 0 AS side, k, role, text FROM m
+  UNION ALL
+  SELECT m.conv_id, 1, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.k), role, CASE WHEN m.k = l.k THEN o.answer ELSE text END
+  FROM m LEFT JOIN l ON l.conv_id = m.conv_id LEFT JOIN l o ON o.conv_id = xor(m.conv_id, 1)
+  WHERE l.k IS NULL OR m.k <> l.k OR o.answer IS NOT NULL
+), eq AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, coalesce(a.role = b.role AND a.text = b.text, false) AS same
+  FROM (SELECT * FROM n WHERE side = 0) a FULL JOIN (SELECT * FROM n WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k
+), p AS (SELECT pair_id, CAST(coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS INTEGER) AS prompt_turns FROM eq GROUP BY 1
+), r AS (
+  SELECT n.*, prompt_turns, '<|im_start|>' || role || chr(10) AS head, replace(text, '<|im_', '< |im_') || '<|im_end|>' AS body FROM n JOIN p USING (pair_id)
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY pair_id, side, k > prompt_turns ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM r
+)
+SELECT pair_id, any_value(prompt_turns) AS prompt_turns,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 0 AND k <= prompt_turns), '') AS prompt,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 0 AND k > prompt_turns), '') AS chosen,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 1 AND k > prompt_turns), '') AS rejected,
+  coalesce(string_agg(CAST(base + length(head) AS BIGINT) || ':' || length(body), ',' ORDER BY k) FILTER (side = 0 AND k > prompt_turns AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(base + length(head) AS BIGINT) || ':' || length(body), ',' ORDER BY k) FILTER (side = 1 AND k > prompt_turns AND role = 'assistant'), '') AS rejected_spans
+FROM o GROUP BY pair_id
+"""
+
+#: All pairs that share a shingle, and all that they reach.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + least(4, len(ws))], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 3, 1))) AS p FROM d WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.n >= 80 * (x.n + y.n - i.n)
+), r AS (SELECT doc_id AS id, doc_id AS of FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.of
+), c AS (SELECT id, min(of) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
