@@ -104,7 +104,9 @@ def materialise(documents: DataFrame, folder: str, key: int, length: int = 2048,
     """
     spark, made = documents.sparkSession, scratch(documents.sparkSession, "sequences")
     store.make_dir(folder)
-    sequences(documents, length, path).write.parquet(made)
+    # ids are most of what lies on disk until the shards are written, so they are packed tightly
+    packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+    sequences(documents, length, path).write.options(**packed).parquet(made)
     cut = spark.read.schema("part long, i long, n_tokens long, doc_ids array<long>, ids binary").parquet(made)
     parts = cut.groupBy("part").agg(F.count("*").alias("n"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
