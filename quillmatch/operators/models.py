@@ -162,7 +162,7 @@ def stepwise_glm(train: DataFrame, columns: list[str], label: str = "label") ->
     n = train.count()
 
     def bic(cols: list[str]) -> float:
-        model = GeneralizedLinearRegression(family="binomial", labelCol=label, maxIter=25).fit(assembled(train, cols))
+        model = GeneralizedLinearRegression(family="binomial", labelCol=label, maxIter=25).fit(assembled(train.drop("features"), cols))
         return model.summary.deviance + log(n) * (len(cols) + 1)
 
     left, best = list(columns), bic(list(columns))
