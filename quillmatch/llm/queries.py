@@ -60,7 +60,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL, "op9_jump_shards": OP9_SQL}
 
 
 #: Every window of every item against every position of every document.
@@ -141,3 +141,21 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
 """
+
+#: The published hash in 128-bit numbers, a step at a time, and the checksum a byte at a time.
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), r AS (
+  SELECT doc_id, n, CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616::HUGEINT ELSE doc_id::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM d), (VALUES (8), (9)) s(n)
+  UNION ALL
+  SELECT doc_id, n, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, n, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k, b, j FROM r WHERE j < n)
+), s AS (SELECT doc_id, max(b) FILTER (n = 8) AS shard, max(b) FILTER (n = 9) AS grown_shard FROM r WHERE j >= n GROUP BY 1
+), t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), c AS (
+  SELECT doc_id, 1 + strlen(text) AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM d, t
+)
+SELECT c.doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(CAST(c.doc_id AS VARCHAR))[1:4])::INTEGER % 1024, c.doc_id, crc, size) - 1 AS slot
+FROM c JOIN s ON s.doc_id = c.doc_id
+"""

@@ -48,12 +48,14 @@ def shard_rows(df: DataFrame, key: str, shards: int, slot_buckets: int = 1024, o
     """df with shard int, grown_shard int (with one shard more) and slot long, gapless from 0 within a shard.
 
     Slots come from counts of (shard, key bucket) groups, summed up over the buckets, plus the row's rank in its own
-    group; so no task ever sorts a whole shard. The order within a group is key, then `order`.
+    group; so no task ever sorts a whole shard. The order within a group is key, then `order`. Buckets: 65,536 at most.
 
     Nulls: a null key counts as 0. Ties and repeated rows: each row has a slot of its own. Empty table: no rows.
     Columns of df named shard, grown_shard or slot are replaced; helper columns have names no table should have.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(slot_buckets)).cast("int")
+    # four hex digits of a hash that every engine has, so that slots can be checked elsewhere
+    digits = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("0")).cast("binary")), 1, 4), 16, 10)
+    bucket = F.pmod(digits.cast("int"), F.lit(slot_buckets)).cast("int")
     rows = df.withColumns({"shard": jump_hash(F.col(key), shards), "grown_shard": jump_hash(F.col(key), shards + 1), "__bucket": bucket})
     counts = (
         df.select(jump_hash(F.col(key), shards).alias("__shard"), bucket.alias("__of"))
