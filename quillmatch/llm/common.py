@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +21,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def pinned(value: Column) -> Column:
-    """value, computed once where it stands: the optimiser moves no filter below it and copies it into nothing above.
-
-    Without this a filter on a column made of it would be rewritten to compute it anew, even once per element.
-    """
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, else one below /tmp (local runs)."""
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillmatch"
@@ -48,6 +41,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once at its first use and held on the executors' disks until released.
+
+    What a lost executor held is computed again from its lineage. For steps of one operator that are used a few
+    times; a table that outlives the operator is written instead.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*frames: DataFrame) -> None:
+    """Gives up what kept() holds."""
+    for df in frames:
+        df.unpersist()
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes what written() made."""
     drop_path(df.sparkSession, df.written_to)

@@ -24,9 +24,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         joined = large.join(low, F.col("u") == F.col("u0"))
         small = joined.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         after = written(small.filter("u <> v").distinct(), "edges")
+        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(now)
         now = after
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import ascii_lower, pinned
+from quillmatch.functions.planning import pinned
+from quillmatch.llm.common import ascii_lower
 from quillmatch.llm.lookup import Lookup
 
 #: Bytes that are no part of a word, once A-Z are lower case.

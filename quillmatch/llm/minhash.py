@@ -1,13 +1,14 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian pruning, exact verification, connected components.
 
 1. One pass over the texts: each document's set of word shingles becomes its size, a 128-bit fingerprint and a
-   signature of 128 minima. Documents with equal fingerprints have equal sets; one stands for all from here on.
-2. Bands of the signature are buckets. In each, the smallest id is paired with every other one, not all with all.
+   signature of 256 minima. Documents with equal fingerprints have equal sets; one stands for all from here on.
+2. Bands of the signature are buckets. In each, one member is paired with every other: the one with the most company
+   over all its buckets, which in a family of copies is the text they were made from.
 3. Pairs are compared in batches of signature rows; one is pruned as soon as the posterior chance that its similarity
    reaches the threshold falls below the miss probability. Survivors are verified on their full sets.
-4. Links give components. In a bucket that still spans several, the members of different components are paired:
-   directly in small buckets; large ones are first split by further signature rows, and what is still large after
-   that is compared in blocks of bounded size. No bucket is cut short and no pair of one component is made.
+4. Links give components. In a bucket that still spans several, the members of different components are compared in
+   blocks of bounded size, which make a row only of a pair that the same pruning leaves. Buckets too large for that
+   are first split by further signature rows. No bucket is cut short.
 
 A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 32, below 1e-7.
 """
@@ -20,17 +21,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import drop_table, written
+from quillmatch.llm.common import drop_table, kept, release, written
 from quillmatch.llm.components import components
 from quillmatch.llm.wordhash import SPACES, mix, parts, word_hashes
 
-HASHES, ROWS, BATCH = 128, 4, 16
-#: A bucket is large beyond so many members besides its first.
-SMALL = 32
-#: Splits of a large bucket: sub-bands and levels.
-SPLITS, LEVELS = 28, 2
-#: Rows of a block in the comparison of buckets that no split makes small.
-BLOCK = 256
+HASHES, BANDS, ROWS, BATCH = 256, 32, 4, 16
+#: A bucket of more members is split: into so many sub-bands, at so many levels at most.
+SPLIT, SPLITS, LEVELS = 8192, 28, 2
+#: Members of a block, and rows of the tiles that one group holds.
+BLOCK, BUNDLE = 256, 8192
+#: The same, once a row holds a full set.
+SETS = 1024
+#: Sets of ids of up to so many rows are broadcast to pick documents; larger ones are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: The chance of pruning a pair that reaches the threshold, after each batch.
 MISS = 1e-6
 
@@ -65,11 +68,11 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def signature(own: np.ndarray, step: int = 4096) -> np.ndarray:
-    """128 minima of a set of 64-bit hashes, as uint32."""
+    """256 minima of a set of 64-bit hashes, each hashed to 16 bits."""
     low, out = (own >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 2**32 - 1, np.uint32)
     for i in range(0, len(low), step):
         np.minimum(out, (_FACTORS[:, None] * low[None, i : i + step]).min(axis=1), out=out)
-    return out
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 def fingerprint(own: np.ndarray) -> tuple[int, int]:
@@ -96,17 +99,21 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def possible(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Which pairs of signature rows survive, batch after batch."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+def possible(a: np.ndarray, b: np.ndarray, least: dict[int, int], u: np.ndarray | None = None, v: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs (a[u], b[v]) of signatures survive, batch after batch; u and v default to row by row."""
+    u, v = (np.arange(len(a)), np.arange(len(b))) if u is None else (u, v)
+    alive, matches = np.arange(len(u)), np.zeros(len(u), np.int64)
     for n, m in least.items():
-        matches[alive] += (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
+        some = slice(n - BATCH, n)
+        matches[alive] += (a[u[alive], some] == b[v[alive], some]).sum(axis=1)
         alive = alive[matches[alive] >= m]
+        if not len(alive):
+            break
     return alive
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def _keys(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -136,16 +143,17 @@ def sketch(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """key, id: the bands of each signature."""
+    """key, id: the bands of each signature; the last five bits of a key are the number of its band."""
 
     def run(batches):
         import pyarrow as pa
 
-        n = HASHES // ROWS
+        n = BANDS
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                keys = _keys(_signatures(part.column(1)).reshape(-1, n, ROWS), np.arange(n, dtype=np.uint64)[None, :])
+                keys = _keys(_signatures(part.column(1))[:, : n * ROWS].reshape(-1, n, ROWS), np.arange(n, dtype=np.uint64)[None, :])
+                keys = keys & ~np.int64(n - 1) | np.arange(n)[None, :]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), n))], ["key", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
@@ -168,9 +176,18 @@ def _splits(members: DataFrame, level: int) -> DataFrame:
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """key, id, lead, n of the buckets with more than one id; a repeated (key, id) counts once."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("__top")).filter("lead < __top")
-    return buckets.join(sizes.select(F.col("key").alias("__key"), "n", "lead"), F.col("key") == F.col("__key")).select("key", "id", "lead", "n")
+    """key, id, n, lead of the buckets with more than one id; the caller releases it.
+
+    lead: the member whose buckets hold the most members in all; ties go to the smaller id.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("__low"), F.max("id").alias("__top")).filter("__low < __top")
+    shared = kept(buckets.join(sizes.select(F.col("key").alias("__key"), "n"), F.col("key") == F.col("__key")).select("key", "id", "n"))
+    company = shared.groupBy("id").agg(F.sum("n").alias("company")).select(F.col("id").alias("__id"), "company")
+    best = shared.join(company, F.col("id") == F.col("__id")).groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus")))["minus"].alias("minus"))
+    out = kept(shared.join(best.select(F.col("key").alias("__key"), (-F.col("minus")).alias("lead")), F.col("key") == F.col("__key")).select("key", "id", "n", "lead"))
+    out.count()
+    release(shared)
+    return out
 
 
 def _pruned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -190,9 +207,8 @@ def _pruned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets link: 100 * intersection >= percent * union. Written."""
-    pairs = written(pairs, "survivors")
+def _sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, own: the full shingle sets of the documents with these ids (column id), from their texts; kept."""
 
     def sets(batches):
         import pyarrow as pa
@@ -202,53 +218,123 @@ def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, words: in
             for part in parts(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for s in shingles([t for _, t in part], words)], pa.binary())], ["id", "own"])
 
+    used = ids.distinct()
+    if used.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        used = F.broadcast(used)
+    slim = documents.select(documents["doc_id"].cast("long").alias("id"), documents["text"].cast("string").alias("text"))
+    return kept(slim.join(used, "id", "left_semi").mapInArrow(sets, "id long, own binary").dropDuplicates(["id"]))
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if not len(a) or not len(b):
+        return False
+    at = np.searchsorted(b, a)
+    n = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * n >= percent * (len(a) + len(b) - n)
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets link, in a table of its own."""
+    pairs = written(pairs, "survivors")
+
     def link(batches):
         import pyarrow as pa
 
         for x in batches:
             for at in range(0, x.num_rows, 256):
-                part, good = x.slice(at, 256), []
-                for own, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-                    at_b = np.searchsorted(b, a)
-                    n = int((b[np.minimum(at_b, len(b) - 1)] == a).sum())
-                    good.append(100 * n >= percent * (len(a) + len(b) - n))
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    slim = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    full = written(slim.join(used, "doc_id", "left_semi").mapInArrow(sets, "id long, own binary").dropDuplicates(["id"]), "sets")
+                part = x.slice(at, 256)
+                both = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                yield part.select([0, 1]).filter(pa.array([linked(np.frombuffer(o, np.uint64), np.frombuffer(q, np.uint64), percent) for o, q in both], pa.bool_()))
+
+    full = _sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     both = pairs.join(full.withColumnsRenamed({"id": "a", "own": "oa"}), "a").join(full.withColumnsRenamed({"id": "b", "own": "ob"}), "b")
     out = written(both.select("a", "b", "oa", "ob").mapInArrow(link, "a long, b long"), "links")
-    drop_table(full)
+    release(full)
     drop_table(pairs)
     return out
 
 
-def _blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Possible pairs of different components in large buckets (key, id, comp, n, sig): blocks of each against blocks.
+def _tile_pairs(ids, comp, side, sig, least, band):
+    """Rows u, v of the possible pairs of a tile, of different components.
 
-    A task holds two blocks of about BLOCK members; it makes no row of a pair that is pruned or in one component.
+    side: 0 for the first block, 1 for the second; a tile of one block has zeros only. band: of the tile's bucket; a
+    pair that shares an earlier band is left to that band's bucket. None: all pairs.
     """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+    for at in range(0, len(left), 64):
+        p = left[at : at + 64]
+        meet = comp[p][:, None] != comp[right][None, :]
+        if not side.max():
+            meet &= ids[p][:, None] < ids[right][None, :]
+        u, v = np.nonzero(meet)
+        u, v = p[u], right[v]
+        alive = possible(sig, sig, least, u, v)
+        u, v = u[alive], v[alive]
+        if band:
+            before = slice(0, band * ROWS)
+            u_v = (sig[u, before] == sig[v, before]).reshape(len(u), band, ROWS).all(axis=2).any(axis=1)
+            u, v = u[~u_v], v[~u_v]
+        yield u, v
+
+
+def _each_tile(pdf, least, first_band: bool):
+    """pdf sorted by tile, and rows u, v of the possible pairs of each tile."""
+    pdf = pdf.sort_values(["key", "i", "j"], kind="stable").reset_index(drop=True)
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, HASHES)
+    key, i, j, x, ids, comp = (pdf[c].to_numpy() for c in ("key", "i", "j", "x", "id", "comp"))
+    edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]
+    for lo, hi in zip([0, *edge], [*edge, len(key)], strict=True) if len(key) else []:
+        side = ((x[lo:hi] == j[lo:hi]) & (i[lo:hi] != j[lo:hi])).astype(int)
+        band = int(key[lo] & (BANDS - 1)) if first_band else None
+        found += [(u + lo, v + lo) for u, v in _tile_pairs(ids[lo:hi], comp[lo:hi], side, sig[lo:hi], least, band)]
+    return pdf, np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
+
+
+def _bundled(tiles: DataFrame, rows: int, of: int):
+    """Tiles in groups of about so many of the `of` rows; a tile is in one group."""
+    return tiles.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(16, of // rows))).cast("int").alias("bundle"))
+
+
+def _linked_blocks(members: DataFrame, reps: DataFrame, documents: DataFrame, words: int, percent: int, first_band: bool) -> DataFrame:
+    """Links (a, b) between different components in buckets (key, id, comp, n): blocks of each against blocks.
+
+    A tile holds two blocks of about BLOCK members; small ones share a group. The signatures of a tile tell which of
+    its members have a possible partner in it; only those get their full sets, and the tile compares them again, now
+    to the end. No row is made of a pair but of a link.
+    """
+    threshold = percent / 100
     least = least_matches(threshold)
-    cut = members.withColumn("__m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("__x", F.pmod(F.xxhash64("id"), F.col("__m")).cast("int"))
-    tiles = cut.withColumn("__y", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
-    tiles = tiles.select("key", F.least("__x", "__y").alias("i"), F.greatest("__x", "__y").alias("j"), "__x", "id", "comp", "sig")
+    cut = members.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    tiles = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    tiles = tiles.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp")
+    sigs = reps.select(F.col("id").alias("__id"), "sig")
+    signed = lambda t: t.join(sigs, F.col("id") == F.col("__id")).drop("__id")
 
-    def run(pdf):
-        import pandas as pd
+    def partners(pdf):
+        pdf, u, v = _each_tile(pdf, least, first_band)
+        return pdf.loc[np.unique(np.concatenate([u, v])), ["key", "i", "j", "x", "id", "comp"]]
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        ids, comp, x = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["__x"].to_numpy()
-        i, j, found = pdf["i"].iloc[0], pdf["j"].iloc[0], []
-        right = np.flatnonzero(x == j)
-        for p in np.flatnonzero(x == i):
-            q = right[(comp[right] != comp[p]) & ((ids[right] > ids[p]) | (i != j))]
-            q = q[possible(np.broadcast_to(sig[p], (len(q), HASHES)), sig[q], least)]
-            found.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])], 1))
-        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["a", "b"])
+    def link(pdf):
+        import pandas as pd
 
-    return tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+        pdf, u, v = _each_tile(pdf, least, first_band)
+        own = [np.frombuffer(o, np.uint64) for o in pdf["own"]]
+        good = [linked(own[p], own[q], percent) for p, q in zip(u, v, strict=True)]
+        ids = pdf["id"].to_numpy()
+        a, b = ids[u[good]], ids[v[good]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    kind = "key long, i int, j int, x int, id long, comp long"
+    some = written(_bundled(signed(tiles), BUNDLE, tiles.count()).applyInPandas(partners, kind), "partners")
+    full = _sets(documents, some.select("id"), words)
+    whole = signed(some).join(full.withColumnRenamed("id", "__of"), F.col("id") == F.col("__of")).drop("__of")
+    out = written(_bundled(whole, SETS, some.count()).applyInPandas(link, "a long, b long").distinct(), "links")
+    release(full)
+    drop_table(some)
+    return out
 
 
 def _labels(links: list[DataFrame]) -> DataFrame:
@@ -266,37 +352,32 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     all others: such a row's component_id is the smallest doc_id of its group, or null. Only doc_id and text are read.
     """
     threshold = percent / 100
-    docs = written(sketch(documents, words), "sketches")
+    docs = kept(sketch(documents, words))
     groups = docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    reps = written(groups, "representatives")
-    members = written(_shared(_bands(reps)), "buckets")
+    reps = kept(groups)
+    members = _shared(_bands(reps))
     links, labels = [], None
     for level in range(LEVELS + 1):
-        stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        links.append(_verified(_pruned(stars, reps, threshold), documents, reps, words, percent))
+        stars = members.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+        links.append(_verified(_pruned(stars, reps, threshold), documents, words, percent))
         if labels is not None:
             drop_table(labels)
         labels = _labels(links)
-        # the first of a bucket has been compared with all others
+        # the lead of a bucket has been compared with all others
         rest = members.filter("n > 2 AND id <> lead").join(labels.withColumnsRenamed({"id": "__id"}), F.col("id") == F.col("__id"), "left")
         rest = rest.select("key", "id", F.coalesce("component", "id").alias("comp"), (F.col("n") - 1).alias("n"))
         mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("__key"))
         rest = written(rest.join(mixed, F.col("key") == F.col("__key")).drop("__key"), "mixed")
-        drop_table(members)
-        small = rest.filter(F.col("n") <= SMALL)
-        a, b = small.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = a.join(b, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        links.append(_verified(_pruned(pairs, reps, threshold), documents, reps, words, percent))
-        large = rest.filter(F.col("n") > SMALL).join(reps.select(F.col("id").alias("__id"), "sig"), F.col("id") == F.col("__id")).drop("__id")
-        if rest.filter(F.col("n") > SMALL).isEmpty():
-            drop_table(rest)
+        release(members)
+        large = F.col("n") > SPLIT if level < LEVELS else F.lit(False)
+        done = rest.filter(large).isEmpty()
+        links.append(_linked_blocks(rest.filter(~large), reps, documents, words, percent, first_band=done and not level))
+        if not done:
+            signed = rest.filter(large).join(reps.select(F.col("id").alias("__id"), "sig"), F.col("id") == F.col("__id"))
+            members = _shared(_splits(signed, level))
+        drop_table(rest)
+        if done:
             break
-        if level == LEVELS:
-            links.append(_verified(_blocks(large, threshold).distinct(), documents, reps, words, percent))
-            drop_table(rest)
-        else:
-            members = written(_shared(_splits(large, level)), "buckets")
-            drop_table(rest)
     drop_table(labels)
     labels = _labels(links)
     named = reps.select("f1", "f2", "id").join(labels.withColumnsRenamed({"id": "__id"}), F.col("id") == F.col("__id"), "left")
@@ -304,7 +385,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     found = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, (F.col("n_shingles") > 0) & (F.col("f1") == F.col("__f1")) & (F.col("f2") == F.col("__f2")), "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = written(found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))), "near-duplicates")
-    for x in (docs, reps, labels, *links):
+    release(docs, reps)
+    for x in (labels, *links):
         drop_table(x)
     return out
 
