@@ -54,7 +54,7 @@ class Model:
     def keys(self, doc_ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of features, log weight and key of each document."""
         at, n = features(texts, len(self.weights) // 2)
-        weight = np.bincount(np.repeat(np.arange(len(texts)), n), self.weights[at], minlength=len(texts))
+        weight = np.bincount(np.repeat(np.arange(len(texts)), n), self.weights[at], minlength=len(texts)).astype(float)
         whole = np.zeros(len(texts), np.uint64)
         np.add.at(whole, np.repeat(np.arange(len(texts)), n), mix(at.astype(np.uint64)))
         own = np.array([(d if d is not None else -1) & (2**64 - 1) for d in doc_ids], np.uint64)
