@@ -236,3 +236,27 @@ def weird_pairs(t):
     pair = relational.sorted_pair(F.col("p_name_1"), F.col("p_name_2"))
     return both.select("k1", "k2", pair[0].alias("low"), pair[1].alias("high"), text.word_count(F.col("p_name_1")).cast("long").alias("words_1"), text.word_count(F.col("p_name_2")).cast("long").alias("words_2"))
 
+
+
+@query("SELECT p.page_id, q.page_id AS other FROM pages p JOIN pages q ON q.url = p.url")
+def url_join(t):
+    offers = t.pages.select("page_id", text.offer_id(F.concat(F.lit("n"), F.col("page_id").cast("string")), F.col("url")).alias("offer_id"))
+    left = offers.select("page_id", text.url_of(F.col("offer_id")).alias("url"))
+    return left.join(t.pages.select("url", F.col("page_id").alias("other")), "url").select("page_id", "other")
+
+
+@query("SELECT doc_id, 'X' || quality AS class FROM labels")
+def class_names(t):
+    return t.labels.select("doc_id", text.class_name(F.col("quality")).alias("class"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS equal, round(count(*) FILTER (quality = toxic) / count(*), 6) AS share FROM labels")
+def equal_columns(t):
+    equal = F.count_if(F.col("quality") == F.col("toxic"))
+    return t.labels.agg(F.count("*").alias("n"), equal.alias("equal"), F.round(equal / F.count("*"), 6).alias("share"))
+
+
+@query("SELECT mix, penalty FROM (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS mix), (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS penalty)")
+def parameter_grid(t):
+    powers = F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: F.pow(F.lit(10.0), i))
+    return t._spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0)))).alias("mix"), powers.alias("p")).select("mix", F.explode("p").alias("penalty"))
