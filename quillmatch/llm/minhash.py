@@ -29,7 +29,7 @@ HASHES, BANDS, ROWS, BATCH = 256, 32, 4, 16
 #: A bucket of more members is split: into so many sub-bands, at so many levels at most.
 SPLIT, SPLITS, LEVELS = 8192, 28, 2
 #: Members of a block, and rows of the tiles that one group holds.
-BLOCK, BUNDLE = 256, 8192
+BLOCK, BUNDLE = 512, 8192
 #: The same, once a row holds a full set.
 SETS = 1024
 #: Sets of ids of up to so many rows are broadcast to pick documents; larger ones are joined by shuffle.
