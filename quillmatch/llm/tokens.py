@@ -65,7 +65,7 @@ class _Words(dict):
 class ChunkTokenizer(dict):
     """chunk -> tuple of ids. Emptied when it holds `limit` chunks; that changes no id."""
 
-    def __init__(self, path: str | None = None, specials_as_text: bool = False, limit: int = 400_000):
+    def __init__(self, path: str | None = None, specials_as_text: bool = False, limit: int = 150_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
