@@ -394,4 +394,6 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are kept: of each group the one with the smallest doc_id. Columns as they came."""
     gone = near_duplicates(documents, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
