@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -43,13 +44,13 @@ _KIND = _of_latin(lambda c: ord(".") if c in ".," else ord("a") if c.isalnum() o
 
 
 class _Words(dict):
-    """Latin-1 word in lower case, or a mark -> tuple of ids."""
+    """Latin-1 word in lower case, or a mark -> its ids as bytes."""
 
     def __init__(self, owner: ChunkTokenizer):
         super().__init__()
         self._owner = owner
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self._owner._limit:
             self.clear()
         text = word.decode("latin-1")
@@ -63,7 +64,7 @@ class _Words(dict):
 
 
 class ChunkTokenizer(dict):
-    """chunk -> tuple of ids. Emptied when it holds `limit` chunks; that changes no id."""
+    """chunk -> its ids as bytes, four to an id. Emptied when it holds `limit` chunks; that changes no id."""
 
     def __init__(self, path: str | None = None, specials_as_text: bool = False, limit: int = 150_000):
         super().__init__()
@@ -74,17 +75,17 @@ class ChunkTokenizer(dict):
         self._t.encode_special_tokens = specials_as_text
         self._merge, self._letters = self._t.model.tokenize, _byte_letters()
         self._latin = _Words(self)
-        self._limit, self._words, self._ints = limit, {}, list(range(self._t.get_vocab_size()))
+        self._limit, self._words = limit, {}
 
-    def _encode(self, chunk: str) -> tuple[int, ...]:
-        return tuple([self._ints[i] for i in self._t.encode(chunk, add_special_tokens=False).ids])
+    def _encode(self, chunk: str) -> bytes:
+        return array("I", self._t.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self._letters)
-        return tuple([self._ints[t.id] for t in self._merge(piece)])
+        return array("I", [t.id for t in self._merge(piece)]).tobytes()
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self._limit:
             self.clear()
         if len(self._words) >= self._limit:
@@ -99,7 +100,7 @@ class ChunkTokenizer(dict):
                     more = self._words[marks] = self._piece(marks)
                 found += more
         else:
-            found = self._encode(chunk) if chunk else ()
+            found = self._encode(chunk) if chunk else b""
         if len(chunk) <= 64:
             self[chunk] = found
         return found
@@ -112,7 +113,7 @@ class ChunkTokenizer(dict):
             found = map(self._latin.__getitem__, words)
         else:
             found = map(self.__getitem__, text.replace("\n", " ").split(" "))
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
 def _latin_words(text: str) -> list[bytes] | None:
