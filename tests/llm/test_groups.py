@@ -187,6 +187,23 @@ def test_resampling_on_held_out_labels(spark):
     assert rates[1] > 0.99 and rates[0] < 0.1
 
 
+@needs_tables
+def test_resampling_rejects_held_out_toxic_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fit_on, held_out = labels.filter(F.xxhash64("doc_id") % 2 == 0), labels.filter(F.xxhash64("doc_id") % 2 != 0)
+    got = held_out.join(resample.select_documents(docs, resample.good_labels(fit_on)), "doc_id").filter("quality = 1")
+    rates = {r["toxic"]: r["kept"] for r in got.groupBy("toxic").agg(F.avg(F.col("selected").cast("int")).alias("kept")).collect()}
+    assert rates[1] < 0.35 and rates[0] > 0.99
+
+
+def test_toxicity_is_of_few_strong_buckets_in_any_length():
+    model = resample.Model(np.zeros(64), seed=1, toxic=np.where(np.arange(64) % 2, 1.0, -1.0), limit=2.5)
+    at, n = np.array([1, 1, 1, 3, 2, *[2] * 50, 1, 3, 5, 7, 9, 11]), np.array([5, 0, 56])
+    assert model._toxicity(at, n).tolist() == [2.0, 0.0, 5.0]
+    assert (resample.Model(np.zeros(64), seed=1)._toxicity(at, n) == 0).all()
+
+
 def test_resampling_edges(spark):
     rows = [(1, "good text here"), (2, None), (3, ""), (None, "bad %%% bad"), (1, "good text here"), (4, "long " * 50_000)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, key double")
