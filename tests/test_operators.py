@@ -72,6 +72,27 @@ def test_svd_keeps_inner_products(spark):
     assert vectors.components_to_keep([0.5, 0.4, 0.0995, 0.0005]) == 2
 
 
+def test_svd_takes_every_term_and_document(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [" ".join(f"t{min(int(rng.expovariate(0.01)), 5999)}x{rng.randint(0, 40)}" for _ in range(60)) + " all" for _ in range(150)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    w = vectors.tfidf(docs, "id", "t", 1, 1)
+    at = {r: i for i, r in enumerate(sorted({r["term"] for r in w.collect()}))}
+    assert len(at) > 4096
+    m = np.zeros((151, len(at)))
+    for r in w.collect():
+        m[r["id"], at[r["term"]]] = r["w"]
+    v, ratios = vectors.truncated_svd(w, "id", components=150, keys=docs)
+    got = {r["id"]: r["v"] for r in v.collect()}
+    assert len(got) == 151 and not any(got[150])
+    x = np.array([got[i] for i in range(151)])
+    assert np.allclose(x @ x.T, m @ m.T) and sum(ratios) == pytest.approx(1)
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    assert ratios[:5] == pytest.approx(((u[:, :5] * s[:5]).var(0) / m.var(0).sum()).tolist())
+
+
 def brute(pairs):
     tp = sum(y == p == 1 for y, p in pairs)
     fp, fn = sum((y, p) == (0, 1) for y, p in pairs), sum((y, p) == (1, 0) for y, p in pairs)
