@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed marks of the chat markup; in a turn's own text their opening is broken by a space.
+#: Fixed marks of the chat markup; in a turn's own text and role their opening is broken by a space, so that neither
+#: can forge a turn. Line breaks in a role become spaces, since a role ends at the first.
 OPEN, SHUT, FORGED, BROKEN = "<|im_start|>", "<|im_end|>", "<|im_", "< |im_"
 
 TURN = "struct<turn:long,role:string,text:string>"
@@ -36,7 +37,7 @@ def common_turns(a: Column, b: Column) -> Column:
 
 
 def _head(t: Column) -> Column:
-    return F.concat(F.lit(OPEN), t["role"], F.lit("\n"))
+    return F.concat(F.lit(OPEN), F.replace(F.translate(t["role"], "\r\n", "  "), F.lit(FORGED), F.lit(BROKEN)), F.lit("\n"))
 
 
 def _body(t: Column) -> Column:

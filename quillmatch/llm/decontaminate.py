@@ -26,8 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 LEAD, PIECES = rf"^([{RAW}]+)", rf"[^{RAW}]+[{RAW}]*"
 
-#: Benchmarks of up to so many windows (of some 100 bytes each) go to the tasks with the plan.
-MAX_WINDOWS = 200_000
+#: Benchmarks of up to so many windows, and so many bytes of windows and item ids, go to the tasks with the plan.
+MAX_WINDOWS, MAX_BYTES = 200_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -71,16 +71,18 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, window: int = 13, text
     """documents with __n_words int, __hit array<int> (sorted positions of hit words) and __items array<string>.
 
     Null and empty texts: no words, no hits. Every row is judged by itself, so repeated rows and repeated or null ids
-    need no care. An empty benchmark hits nothing. Other columns pass through.
+    need no care. An empty benchmark hits nothing. Other columns pass through, but those whose names are __ws, __hits,
+    __hit, __items or __n_words are replaced.
     """
     wins = benchmark_windows(benchmark, window)
-    sizes = wins.groupBy("len").count().collect()  # at most `window` rows
-    lengths, total = sorted(r["len"] for r in sizes), sum(r["count"] for r in sizes)
+    held = F.octet_length("w") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 3) + 40
+    sizes = wins.groupBy("len").agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).collect()  # at most `window` rows
+    lengths, total, size = sorted(r["len"] for r in sizes), sum(r["n"] for r in sizes), sum(r["bytes"] for r in sizes)
     docs = documents.withColumn("__ws", pinned(words(F.col(text)))).withColumn("__n_words", F.size("__ws"))
     none_i, none_s = F.array().cast("array<int>"), F.array().cast("array<string>")
     if not total:
         return docs.withColumns({"__hit": none_i, "__items": none_s}).drop("__ws")
-    if total > max_windows:
+    if total > max_windows or size > MAX_BYTES:
         return _with_hits_joined(docs, wins, lengths)
     ws, n_words = F.col("__ws"), F.col("__n_words")
 
@@ -144,7 +146,7 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; nulls, repeats and empty tables as in with_hits."""
     found = with_hits(documents.select("doc_id", "text"), benchmark, window)
     out = found.select(
         "doc_id",

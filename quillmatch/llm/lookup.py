@@ -11,12 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of JSON that a table may have.
+MAX_BYTES = 64 << 20
+
+
 class Lookup:
     def __init__(self, entries: DataFrame, hash_col: str, value: Column, kind: str, limit: int):
-        """entries: at most `limit` rows, else ValueError. value: what a probe finds; kind: its type in SQL."""
-        rows = entries.select(F.col(hash_col), F.to_json(F.struct(value.alias("v")))).take(limit + 1)
-        if len(rows) > limit:
-            raise ValueError(f"a lookup table of over {limit} entries")
+        """entries: at most `limit` rows of MAX_BYTES in all, else ValueError, before any of them reaches the driver.
+
+        value: what a probe finds; kind: its type in SQL.
+        """
+        told = entries.select(F.col(hash_col).alias("h"), F.to_json(F.struct(value.alias("v"))).alias("v"))
+        n, size = told.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()
+        if n > limit or size > MAX_BYTES:
+            raise ValueError(f"a lookup table of {n} entries and {size} bytes; {limit} and {MAX_BYTES} are allowed")
+        rows = told.collect()
         self.n = max(16, min(1 << 20, len(rows) // 2))
         buckets: list[list[str]] = [[] for _ in range(self.n)]
         for h, v in sorted(rows):

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.llm import store
-from quillmatch.llm.common import drop_path, scratch, written
+from quillmatch.llm.common import BROADCAST_IDS, drop_path, scratch, written
 from quillmatch.llm.tokens import as_batches, texts_of, worker_tokenizer
 
 #: Ids are little-endian unsigned 16-bit; the vocabulary's end-of-text id ends documents and fills up sequences.
@@ -140,7 +140,8 @@ def materialise(documents: DataFrame, folder: str, key: int, length: int = 2048,
         yield from as_batches(told, schema)
 
     kind = "sequence long, slot long, shard int, n_tokens long, doc_ids array<long>, ids binary"
-    placed = cut.join(F.broadcast(base), "part").select("base", "i", "n_tokens", "doc_ids", "ids").mapInArrow(place, kind)
+    few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    placed = cut.join(F.broadcast(base) if few else base, "part").select("base", "i", "n_tokens", "doc_ids", "ids").mapInArrow(place, kind)
     ranged = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     out = written(ranged.mapInArrow(write, "sequence long, slot long, shard int, offset long, n_tokens long, ids_crc32 long, doc_ids array<long>"), "slots")
     drop_path(spark, made)

@@ -7,8 +7,9 @@
 3. Pairs are compared in batches of signature rows; one is pruned as soon as the posterior chance that its similarity
    reaches the threshold falls below the miss probability. Survivors are verified on their full sets.
 4. Links give components. In a bucket that still spans several, the members of different components are compared in
-   blocks of bounded size, which make a row only of a pair that the same pruning leaves. Buckets too large for that
-   are first split by further signature rows. No bucket is cut short.
+   blocks of bounded size, which make a row only of a pair that the same pruning leaves; blocks of the bucket's largest
+   component meet only those of the others. Buckets too large for that are first split by further signature rows. No
+   bucket is cut short.
 
 A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 32, below 1e-7.
 """
@@ -18,10 +19,10 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import drop_table, kept, release, written
+from quillmatch.llm.common import BROADCAST_IDS, drop_table, joined_by_hot_keys, kept, release, written
 from quillmatch.llm.components import components
 from quillmatch.llm.wordhash import SPACES, mix, parts, word_hashes
 
@@ -32,8 +33,6 @@ SPLIT, SPLITS, LEVELS = 8192, 28, 2
 BLOCK, BUNDLE = 512, 8192
 #: The same, once a row holds a full set.
 SETS = 1024
-#: Sets of ids of up to so many rows are broadcast to pick documents; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: The chance of pruning a pair that reaches the threshold, after each batch.
 MISS = 1e-6
 
@@ -124,22 +123,34 @@ def _keys(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
+def node_of(documents: DataFrame) -> Column:
+    """The number by which a row is known: its doc_id, or a hash of its text, or null where both are."""
+    return F.coalesce(documents["doc_id"].cast("long"), F.when(documents["text"].isNotNull(), F.xxhash64(documents["text"].cast("string"))))
+
+
 def sketch(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2, sig of every document."""
+    """doc_id, id (its node), n_shingles, f1, f2, sig of every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = ((i, t) for at in range(0, b.num_rows, 512) for i, t in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True))
-            for part in parts(rows):
+            at = 0
+            for part in parts(_slowly(b.column(2), b.column(1))):
                 sets = shingles([t for _, t in part], words)
                 f = [fingerprint(s) for s in sets]
-                cols = [pa.array([i for i, _ in part], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                cols = [b.column(0).slice(at, len(part)), b.column(1).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "n_shingles", "f1", "f2", "sig"])
+                at += len(part)
+
+    slim = documents.select(documents["doc_id"].cast("long"), node_of(documents).alias("id"), documents["text"].cast("string"))
+    return slim.mapInArrow(run, "doc_id long, id long, n_shingles long, f1 long, f2 long, sig binary")
 
-    slim = documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+
+def _slowly(texts, ids):
+    """(id, text) of two Arrow columns, a few rows in Python at a time."""
+    for at in range(0, len(ids), 512):
+        yield from zip(ids.slice(at, 512).to_pylist(), texts.slice(at, 512).to_pylist(), strict=True)
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -207,22 +218,26 @@ def _pruned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, own: the full shingle sets of the documents with these ids (column id), from their texts; kept."""
+def _sets(documents: DataFrame, ids: DataFrame, words: int, several: bool) -> DataFrame:
+    """id, own: the full shingle sets of the nodes with these ids (column id), from their texts; kept.
+
+    several: a node may have texts with different sets; each is a row.
+    """
 
     def sets(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = ((i, t) for at in range(0, b.num_rows, 512) for i, t in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True))
-            for part in parts(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([s.tobytes() for s in shingles([t for _, t in part], words)], pa.binary())], ["id", "own"])
+            for part in parts(_slowly(b.column(1), b.column(0))):
+                own = [(i, s.tobytes()) for (i, _), s in zip(part, shingles([t for _, t in part], words), strict=True) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([o for _, o in own], pa.binary())], ["id", "own"])
 
     used = ids.distinct()
     if used.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         used = F.broadcast(used)
-    slim = documents.select(documents["doc_id"].cast("long").alias("id"), documents["text"].cast("string").alias("text"))
-    return kept(slim.join(used, "id", "left_semi").mapInArrow(sets, "id long, own binary").dropDuplicates(["id"]))
+    slim = documents.select(node_of(documents).alias("id"), documents["text"].cast("string").alias("text"))
+    found = slim.join(used, "id", "left_semi").mapInArrow(sets, "id long, own binary")
+    return kept(found.distinct() if several else found.dropDuplicates(["id"]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -234,7 +249,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, several: bool) -> DataFrame:
     """Those of the pairs (a, b) whose full sets link, in a table of its own."""
     pairs = written(pairs, "survivors")
 
@@ -247,7 +262,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
                 both = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
                 yield part.select([0, 1]).filter(pa.array([linked(np.frombuffer(o, np.uint64), np.frombuffer(q, np.uint64), percent) for o, q in both], pa.bool_()))
 
-    full = _sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
+    full = _sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")), words, several)
     both = pairs.join(full.withColumnsRenamed({"id": "a", "own": "oa"}), "a").join(full.withColumnsRenamed({"id": "b", "own": "ob"}), "b")
     out = written(both.select("a", "b", "oa", "ob").mapInArrow(link, "a long, b long"), "links")
     release(full)
@@ -298,7 +313,26 @@ def _bundled(tiles: DataFrame, rows: int, of: int):
     return tiles.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(16, of // rows))).cast("int").alias("bundle"))
 
 
-def _linked_blocks(members: DataFrame, reps: DataFrame, documents: DataFrame, words: int, percent: int, first_band: bool) -> DataFrame:
+def _tiles(members: DataFrame) -> DataFrame:
+    """key, i, j, x, id, comp: members (key, id, comp, n) in every tile (i, j) of their bucket that their block x is in.
+
+    The blocks of a bucket's largest component come first and make no tiles with each other, since members of one
+    component need not meet. So a member of it is copied once for each block of the others, and only the others are
+    copied for every block.
+    """
+    small = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("x"), "id", "comp")
+    large = members.filter(F.col("n") > BLOCK).select("key", "id", "comp")
+    each = large.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    main = main.select(F.col("key").alias("__key"), F.col("main")["comp"].alias("main"), blocks(F.col("main")["c"]).alias("p"), blocks(F.col("all") - F.col("main")["c"]).alias("q"))
+    cut, is_main, h = large.join(main, F.col("key") == F.col("__key")), F.col("comp") == F.col("main"), F.xxhash64("id")
+    cut = cut.withColumn("x", F.when(is_main, F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int"))
+    cut = cut.withColumn("y", F.explode(F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
+    return small.unionByName(cut.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp"))
+
+
+def _linked_blocks(members: DataFrame, reps: DataFrame, documents: DataFrame, words: int, percent: int, first_band: bool, several: bool) -> DataFrame:
     """Links (a, b) between different components in buckets (key, id, comp, n): blocks of each against blocks.
 
     A tile holds two blocks of about BLOCK members; small ones share a group. The signatures of a tile tell which of
@@ -307,9 +341,7 @@ def _linked_blocks(members: DataFrame, reps: DataFrame, documents: DataFrame, wo
     """
     threshold = percent / 100
     least = least_matches(threshold)
-    cut = members.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    tiles = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    tiles = tiles.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp")
+    tiles = _tiles(members)
     sigs = reps.select(F.col("id").alias("__id"), "sig")
     signed = lambda t: t.join(sigs, F.col("id") == F.col("__id")).drop("__id")
 
@@ -329,7 +361,7 @@ def _linked_blocks(members: DataFrame, reps: DataFrame, documents: DataFrame, wo
 
     kind = "key long, i int, j int, x int, id long, comp long"
     some = written(_bundled(signed(tiles), BUNDLE, tiles.count()).applyInPandas(partners, kind), "partners")
-    full = _sets(documents, some.select("id"), words)
+    full = _sets(documents, some.select("id"), words, several)
     whole = signed(some).join(full.withColumnRenamed("id", "__of"), F.col("id") == F.col("__of")).drop("__of")
     out = written(_bundled(whole, SETS, some.count()).applyInPandas(link, "a long, b long").distinct(), "links")
     release(full)
@@ -344,22 +376,27 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return components(every.select("a", "b"))
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document, in a table of its own.
+def _grouped(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, id (its node), n_shingles, root, component of every row, in a table of its own.
 
-    Texts: A-Z as a-z, words between white space, distinct shingles of so many words. Null, empty and wordless texts
-    have an empty set and no links. Rows that share a doc_id are taken as one document. A null doc_id stands behind
-    all others: such a row's component_id is the smallest doc_id of its group, or null. Only doc_id and text are read.
+    Rows of one group have one root, a node of the group: its smallest doc_id if it has any, which then is its
+    component as well; else component is null.
     """
     threshold = percent / 100
     docs = kept(sketch(documents, words))
-    groups = docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    reps = kept(groups)
+    worded = docs.filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("id")))["id"]
+    reps = kept(worded.groupBy("f1", "f2").agg(first.alias("id"), F.first("sig").alias("sig"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")))
+    twice = worded.groupBy("id").agg(*[f(c).alias(f"{k}{c}") for c in ("f1", "f2") for k, f in (("lo", F.min), ("hi", F.max))])
+    twice = kept(twice.filter("lof1 <> hif1 OR lof2 <> hif2").select(F.col("id").alias("__id")))
+    several, links, labels = not twice.isEmpty(), [], None
+    if several:  # what a doc_id's own texts are in belongs together
+        own = worded.join(twice, F.col("id") == F.col("__id")).select("id", "f1", "f2").distinct()
+        links.append(written(own.join(reps.select("f1", "f2", F.col("id").alias("b")), ["f1", "f2"]).select(F.col("id").alias("a"), "b"), "links"))
     members = _shared(_bands(reps))
-    links, labels = [], None
     for level in range(LEVELS + 1):
         stars = members.filter("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        links.append(_verified(_pruned(stars, reps, threshold), documents, words, percent))
+        links.append(_verified(_pruned(stars, reps, threshold), documents, words, percent, several))
         if labels is not None:
             drop_table(labels)
         labels = _labels(links)
@@ -371,7 +408,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         release(members)
         large = F.col("n") > SPLIT if level < LEVELS else F.lit(False)
         done = rest.filter(large).isEmpty()
-        links.append(_linked_blocks(rest.filter(~large), reps, documents, words, percent, first_band=done and not level))
+        links.append(_linked_blocks(rest.filter(~large), reps, documents, words, percent, done and not level, several))
         if not done:
             signed = rest.filter(large).join(reps.select(F.col("id").alias("__id"), "sig"), F.col("id") == F.col("__id"))
             members = _shared(_splits(signed, level))
@@ -380,20 +417,56 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
             break
     drop_table(labels)
     labels = _labels(links)
-    named = reps.select("f1", "f2", "id").join(labels.withColumnsRenamed({"id": "__id"}), F.col("id") == F.col("__id"), "left")
-    named = named.select(F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), F.coalesce("component", "id").alias("component_id"))
-    found = docs.select("doc_id", "n_shingles", "f1", "f2").join(named, (F.col("n_shingles") > 0) & (F.col("f1") == F.col("__f1")) & (F.col("f2") == F.col("__f2")), "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = written(found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))), "near-duplicates")
-    release(docs, reps)
+    named = reps.join(labels.withColumnsRenamed({"id": "__id"}), F.col("id") == F.col("__id"), "left")
+    root = F.coalesce("component", "id")
+    named = named.select("f1", "f2", "n", root.alias("root"), root.alias("component"), F.when(F.col("nulls") < F.col("n"), F.col("id")).alias("real"), "nulls")
+    if not named.filter("nulls > 0").isEmpty():  # a root may be the hash of a text
+        best = named.groupBy(F.col("root").alias("__root")).agg(F.min("real").alias("best"), F.sum("nulls").alias("some")).filter("some > 0")
+        named = named.join(best, F.col("root") == F.col("__root"), "left")
+        named = named.withColumns({"component": F.when(F.col("some").isNull(), F.col("root")).otherwise(F.col("best")), "root": F.coalesce("best", "root")})
+    out = joined_by_hot_keys(worded.select("doc_id", "id", "n_shingles", "f1", "f2"), named.select("f1", "f2", "n", "root", "component"), ["f1", "f2"]).drop("f1", "f2")
+    wordless = docs.filter("n_shingles = 0").select("doc_id", "id", "n_shingles", F.col("id").alias("root"), F.col("doc_id").alias("component"))
+    out = written(out.unionByName(wordless), "groups")
+    release(docs, reps, twice)
     for x in (labels, *links):
         drop_table(x)
     return out
 
 
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row, from a table of its own.
+
+    Texts: A-Z as a-z, words between white space, distinct shingles of so many words; of any length. Null, empty and
+    wordless texts have an empty set and no links: component_id is the row's own doc_id. Rows that share a doc_id are
+    one document: those with words are in one group, which has the links of all their texts; n_shingles is each row's
+    own. Rows without a doc_id are documents by their text; their component_id is the smallest doc_id of the group,
+    null if there is none, and kept is then true. An empty table has no rows. Only doc_id and text are read.
+
+    The node of a row without a doc_id is a 64-bit hash of its text, which equals a doc_id with a chance of 2 ** -64.
+    """
+    g = _grouped(documents, words, percent).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return g.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
 def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are kept: of each group the one with the smallest doc_id. Columns as they came."""
-    gone = near_duplicates(documents, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each group of near duplicates, with the columns as they came.
+
+    Of a group stays the smallest doc_id, of groups without any the text with the smallest hash. Of rows that share a
+    doc_id, or without one a text, one stays: one with words if there is, then that with the smallest hash of its
+    text; rows equal in text differ in no column that is read here, and any of them may stay. Rows without a doc_id
+    and without words all stay.
+    """
+    g = _grouped(documents, words, percent)
+    gone = g.filter("id <> root").select(F.col("id").alias("__gone")).distinct()
+    again = g.filter("id = root AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy(F.col("id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1").select("__again")
+    few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    rows = documents.withColumn("__node", node_of(documents))
+    left = rows.join(few(gone), F.col("__node") == F.col("__gone"), "left_anti")
+    if not again.isEmpty():
+        again = few(again)
+        worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        on, one = F.col("__node") == F.col("__again"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.struct(~worded, F.xxhash64(F.col("text").cast("string"))))
+        named = worded | F.col("doc_id").isNotNull()
+        once = left.filter(named).join(again, on, "left_semi").groupBy("__node").agg(one.alias("r")).select("__node", "r.*")
+        left = left.filter(~named).unionByName(left.filter(named).join(again, on, "left_anti")).unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in documents.columns])

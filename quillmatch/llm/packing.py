@@ -2,7 +2,7 @@
 
 A sequence's cost is estimated as a * tokens + b * tokens ** 2 summed over its pieces (attention does not cross
 pieces). Documents go, longest first, to the lowest-cost sequence with remaining room; what fits in no sequence
-whole is cut. The documents of a partition are packed in groups of a bounded number of tokens, in reading order,
+whole is cut, at the room of the emptiest one. The documents of a partition are packed in groups of a bounded number of tokens, in reading order,
 so nothing is shuffled and a lost task is repeated with the same outcome.
 
 A group's sequences hold exactly its tokens: 2048 each, and for the rest a few whose lengths are powers of two.
@@ -49,7 +49,7 @@ def pack(lengths: list[int], length: int = 2048, linear: float = LINEAR, quadrat
             i = int(fits.argmin())
             take = n
             if fits[i] == np.inf:
-                i = int(np.where(left > 0, cost, np.inf).argmin())
+                i = int(left.argmax())  # fewest pieces
                 take = int(left[i])
             out.append((d, start, take, first + i, int(size[i] - left[i])))
             left[i] -= take

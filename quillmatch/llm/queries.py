@@ -41,9 +41,16 @@ def op7_pack(spark, sf_dir):
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def labelled_pages(pages, labels):
+    """url, bad of the labelled pages. A page shows the document whose number stands in its path, after the language."""
+    number = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]+/[a-z]+/(\d{1,18})", 1).try_cast("long")
+    bad = labels.select(F.col("doc_id").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.select("url", number.alias("number")).join(bad, "number").select("url", "bad")
+
+
 def op8_url_rules(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES, min_support=0.002, min_confidence=0.6)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_rules.judge(pages, labelled_pages(pages, table(spark, sf_dir, "labels")), URL_RULES, min_support=0.002, min_confidence=0.6)
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_confidence")
 
 
@@ -60,7 +67,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL, "op9_jump_shards": OP9_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_jump_shards": OP9_SQL}
 
 
 #: Every window of every item against every position of every document.
@@ -113,7 +120,7 @@ WITH t AS (
   FROM (SELECT * FROM n WHERE side = 0) a FULL JOIN (SELECT * FROM n WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k
 ), p AS (SELECT pair_id, CAST(coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS INTEGER) AS prompt_turns FROM eq GROUP BY 1
 ), r AS (
-  SELECT n.*, prompt_turns, '<|im_start|>' || role || chr(10) AS head, replace(text, '<|im_', '< |im_') || '<|im_end|>' AS body FROM n JOIN p USING (pair_id)
+  SELECT n.*, prompt_turns, '<|im_start|>' || replace(replace(replace(role, chr(13), ' '), chr(10), ' '), '<|im_', '< |im_') || chr(10) AS head, replace(text, '<|im_', '< |im_') || '<|im_end|>' AS body FROM n JOIN p USING (pair_id)
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY pair_id, side, k > prompt_turns ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM r
 )
@@ -142,6 +149,39 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
 """
 
+#: Every set of up to six items of every labelled page, counted; no rule is pruned, as a pruned one changes no maximum.
+OP8_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS q FROM pages
+), p AS (
+  SELECT page_id, url, host, path, list_filter(list_distinct(list_concat(list_transform(string_split(host, '.'), lambda x: 'h=' || x),
+    list_transform(string_split_regex(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[/.\-_]+'), lambda x: 'p=' || x),
+    list_transform(string_split(q, '&'), lambda x: 'q=' || regexp_extract(x, '^([^=]*)', 1)))), lambda x: NOT regexp_matches(x, '^.=\d*$')) AS ts FROM u
+), l AS (
+  SELECT row_number() OVER () AS r, ts, coalesce(quality = 0 OR toxic = 1, false) AS bad
+  FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '^[^:/?#]+://[^/?#]+/[a-z]+/(\d{1,18})', 1) AS BIGINT)
+), n AS (SELECT count(*) AS total, count(*) FILTER (bad) AS bad, count(*) FILTER (bad) / count(*) AS base FROM l
+), least AS (SELECT greatest(ceil(0.002::DOUBLE * total), floor(16 * base / (1 - base)) + 1) AS least FROM n WHERE base > 0 AND base < 1
+), t AS (SELECT t, string_agg(r, ',' ORDER BY r) AS rows FROM (SELECT r, unnest(ts) AS t FROM l) GROUP BY t HAVING count(*) >= (SELECT least FROM least)
+), c AS (SELECT t, min(t) OVER (PARTITION BY rows) AS item FROM t
+), i AS (SELECT r, bad, list_sort(list_distinct(list(item))) AS items FROM (SELECT r, bad, unnest(ts) AS t FROM l) JOIN c USING (t) GROUP BY r, bad
+), s AS (
+  SELECT bad, list_transform(list_filter(range(len(items)), lambda x: (m >> x) & 1 = 1), lambda x: items[x + 1]) AS ante
+  FROM (SELECT bad, items, unnest(range(1, CAST(1 AS BIGINT) << len(items))) AS m FROM i) WHERE bit_count(m) <= 6
+), g AS (SELECT ante, count(*) AS pages, count(*) FILTER (bad) AS hits FROM s GROUP BY ante HAVING count(*) FILTER (bad) >= (SELECT least FROM least)
+), f AS (SELECT ante, hits / pages AS p, pages::DOUBLE AS k FROM g
+), rules AS (SELECT ante, p FROM f, n WHERE p >= 0.6 AND (p + 16 / (2 * k) - 4 * sqrt(p * (1 - p) / k + 16 / (4 * k * k))) / (1 + 16 / k) > base
+), own AS (SELECT page_id, url, list(item) AS items FROM (SELECT DISTINCT page_id, url, unnest(ts) AS t FROM p) JOIN c USING (t) GROUP BY ALL
+), m AS (SELECT page_id, url, max(p) AS p FROM own JOIN rules ON list_has_all(items, ante) GROUP BY ALL
+), given(kind, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fit AS (
+  SELECT page_id, url, arg_max(h || pre, length(h || pre)) AS rule, arg_max(kind, length(h || pre)) AS kind FROM p JOIN given ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL
+)
+SELECT p.page_id, host, path, rule, coalesce(kind, CASE WHEN m.p IS NULL THEN 'allow' ELSE 'block' END) AS verdict, m.p AS mined_confidence
+FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND fit.url = p.url LEFT JOIN m ON m.page_id = p.page_id AND m.url = p.url
+"""
+
 #: The published hash in 128-bit numbers, a step at a time, and the checksum a byte at a time.
 OP9_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents

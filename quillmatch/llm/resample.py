@@ -1,8 +1,11 @@
 """Quality by importance resampling.
 
 Two generative models of hashed word and word-pair counts are fitted: of target text (labelled good) and of raw text
-(all documents). A document's log weight is the log ratio of its likelihoods. Gumbel noise is added and the k highest
-keys are kept, which samples k documents without replacement with chances in proportion to their weights.
+(all documents). Both are distributions over the buckets, (count + SHRINK) / (sum + SHRINK * buckets), raw counts
+scaled to the target's sum. A document's log weight is the log ratio of its likelihoods. Gumbel noise is added and the
+k highest keys are kept, which samples k documents without replacement with chances in proportion to their weights, or
+to a power 1 / temperature of them. k is given, or calibrated so that hardly any target text is lost; log weights of
+whole documents spread over hundreds, so at temperature 1 the noise then decides between few.
 
 A few toxic words in a long text move that ratio little, so a second one is fitted on labelled text alone: in how many
 toxic documents each bucket occurs, against all labelled ones. A document's toxicity is the sum of its strongest
@@ -69,6 +72,7 @@ class Model:
     floor: float = -np.inf
     toxic: np.ndarray | None = None
     limit: float = np.inf
+    temperature: float = 1.0
 
     def keys(self, doc_ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of features, log weight and key of each document."""
@@ -87,7 +91,7 @@ class Model:
         np.add.at(whole, np.repeat(np.arange(len(texts)), n), mix(at.astype(np.uint64)))
         own = np.array([(d if d is not None else -1) & (2**64 - 1) for d in doc_ids], np.uint64)
         u = (mix(mix(own + np.uint64(self.seed)) ^ whole) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        return n, weight, weight - np.log(-np.log(np.clip(u, 2.0**-54, 1 - 2.0**-53))), self._toxicity(at, n)
+        return n, weight, weight / self.temperature - np.log(-np.log(np.clip(u, 2.0**-54, 1 - 2.0**-53))), self._toxicity(at, n)
 
     def _toxicity(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The sum of the STRONGEST highest log ratios above 0 among each document's distinct buckets."""
@@ -119,14 +123,16 @@ def _roles(labels: DataFrame, limit: int) -> DataFrame:
     return samples[0].unionByName(samples[1]).unionByName(samples[2]).groupBy("doc_id").agg(*each)
 
 
-def fit(documents: DataFrame, labels: DataFrame, seed: int = 17, buckets: int = BUCKETS, shrink: float = SHRINK, max_target: int = MAX_TARGET, target_loss: float = TARGET_LOSS) -> tuple[Model, DataFrame]:
+def fit(documents: DataFrame, labels: DataFrame, seed: int = 17, buckets: int = BUCKETS, shrink: float = SHRINK, max_target: int = MAX_TARGET, target_loss: float = TARGET_LOSS, k: int | None = None, temperature: float = 1.0) -> tuple[Model, DataFrame]:
     """The model with its floor, and doc_id, n_features, log_weight, key, toxicity of every document, in a table of its own.
 
-    Raw counts are of all documents. k is the number of documents that are within the toxic limit and weigh at least as
-    much as all but a share of target_loss of the held-out target text; the floor is the k-th highest key among those
-    within the limit, and rows that tie there are all kept. The limit is what all but a share of CLEAN_LOSS of the
-    held-out clean text stays within, and of the fitted clean text, as little of it may be held out; without labelled toxic text, or clean text held out, there is none. Null and
-    empty texts weigh 0, as does every document without target text. labels: doc_id, good, and toxic if known.
+    Raw counts are of all documents. k is given, or the number of documents that are within the toxic limit and weigh
+    at least as much as all but a share of target_loss of the held-out target text; the floor is the k-th highest key
+    among those within the limit, and rows that tie there are all kept. The limit is what all but a share of CLEAN_LOSS
+    of the held-out clean text stays within, and of the fitted clean text, as little of it may be held out; without
+    labelled toxic text, or clean text held out, there is none. Null and empty texts weigh 0, as does every document
+    without target text. Repeated rows have one key and are kept or go together; a null doc_id counts as -1 in the
+    noise. An empty table has no rows. labels: doc_id, good, and toxic if known; other columns are not read.
     """
     slim = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
     docs = slim.join(F.broadcast(_roles(labels, max_target)), "doc_id", "left")
@@ -162,15 +168,16 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 17, buckets: int =
         toxic, part = np.zeros(2 * buckets), counts[counts["b"] < 2 * buckets]
         expected = (part["toxic"] + part["clean"]).to_numpy(float) * (n_toxic / (n_toxic + n_clean))
         toxic[part["b"].to_numpy()] = np.log((part["toxic"].to_numpy(float) + TOXIC_SHRINK) / (expected + TOXIC_SHRINK))
-    model = Model(weights, seed, toxic=toxic)
+    model = Model(weights, seed, toxic=toxic, temperature=temperature)
     scored = written(docs.select("doc_id", "text", "__target", "__clean").mapInArrow(_scorer(model), "doc_id long, target int, clean int, n_features long, log_weight double, key double, toxicity double"), "weights")
     marks = [F.percentile_approx(F.when(F.col(role) == 2, F.col(c)), F.lit(share), F.lit(1_000_000)) for role, c, share in (("target", "log_weight", target_loss), ("clean", "toxicity", 1 - CLEAN_LOSS))]
     fitted = F.percentile_approx(F.when(F.col("clean") == 1, F.col("toxicity")), F.lit(1 - CLEAN_LOSS), F.lit(1_000_000))
     held_out, limit, fitted = scored.agg(*marks, fitted).first()
     limit = np.inf if limit is None else max(limit, fitted or 0.0)
     within = scored.filter(F.col("toxicity") <= F.lit(float(limit)))
-    k = within.count() if held_out is None else within.filter(F.col("log_weight") >= held_out).count()
-    return Model(weights, seed, kth_highest(within, "key", k), toxic, limit), scored
+    if k is None:
+        k = within.count() if held_out is None else within.filter(F.col("log_weight") >= held_out).count()
+    return Model(weights, seed, kth_highest(within, "key", k), toxic, limit, temperature), scored
 
 
 def _strings(column):
@@ -218,7 +225,10 @@ def kth_highest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
 
 
 def keep(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents whose key reaches the model's floor and that are within its toxic limit, with all their columns; one pass, no shuffle."""
+    """The documents whose key reaches the model's floor and that are within its toxic limit, with all their columns.
+
+    One pass, no shuffle; each row by itself, nulls and repeats as in fit.
+    """
 
     def run(batches):
         import pyarrow as pa

@@ -1,26 +1,35 @@
 """URL filtering by association rules.
 
-Spark's FP-growth mines combinations of URL tokens from labelled pages. Rules whose consequent is the unwanted class,
-with enough support and confidence, are kept, and less general ones that a more general rule covers are pruned.
-A page is judged through an inverted index: each rule hangs on its rarest token, and only the rules of a page's own
-tokens are tested. Rules given by hand (host and path) come first.
+Spark's FP-growth mines combinations of URL tokens from labelled pages. Tokens that are on the same labelled pages say
+the same and are mined as one item, so that tokens which always go together make no exponential number of itemsets.
+Rules whose consequent is the unwanted class are kept if support and confidence suffice and if the confidence is above
+the base rate beyond chance (a bound that holds at every number of labelled pages); less general ones that a more
+general rule covers are pruned. A page is judged through an inverted index: each rule hangs on its rarest item, and
+only the rules of a page's own items are tested. Rules given by hand (host and path) come first.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import LOWER, UPPER
+from quillmatch.llm.common import LOWER, UPPER, joined_by_hot_keys
 from quillmatch.llm.lookup import Lookup
 
 #: The item that stands for the unwanted class; no URL token starts like it.
 BAD = "class=bad"
 
-#: Mined rules go to the tasks with the plan; more than so many are an error that asks for a higher support.
+#: Up to so many mined rules go to the tasks with the plan; more are joined.
 MAX_RULES = 100_000
 
+#: Normal deviations by which a rule's confidence lies above the base rate: some thousand chance rules are tried.
+DEVIATIONS = 4.0
+
+RULES = "antecedent array<string>, hits long, pages long, confidence double, support double"
+
 
 def host_of(url: Column) -> Column:
     """After the first '://' up to '/', '?', '#' or the end, A-Z in lower case; empty for null or without '://'."""
@@ -48,60 +57,113 @@ def fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 6, min_pages: int = 20) -> DataFrame:
-    """antecedent array<string>, confidence, support: pruned rules for the unwanted class.
+def least_confidence(hits: Column, pages: Column, deviations: float) -> Column:
+    """Wilson's lower bound of the share hits / pages."""
+    n, z = pages.cast("double"), deviations
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
 
-    A rule needs min_support of the labelled pages, and min_pages of them, so that a handful of pages makes no rule.
-    pages (page_id, url), labels (doc_id, bad boolean); all labelled pages count. A rule is pruned if its antecedent
-    holds that of a shorter rule of at least its confidence. Null urls have no tokens, null labels are not bad.
+def token_classes(tokens: DataFrame, least: int) -> DataFrame:
+    """t, item: tokens of at least `least` of the rows (items array), and the first of those that are on the same rows.
+
+    Rows are told apart by hashes of what they hold, each summed up in two halves. There are at most tokens a row
+    times rows / least of them.
     """
-    tagged = pages.select(F.col("page_id").alias("doc_id"), tokens_of(F.col("url")).alias("items")).join(labels.select("doc_id", "bad"), "doc_id")
-    items = tagged.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
-    support = max(min_support, min_pages / max(1, items.count()))
-    if support > 1:  # fewer labelled pages than a rule needs
-        return pages.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).associationRules
-    rules = rules.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_tokens)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    bounded = rules.take(MAX_RULES + 1)
-    if len(bounded) > MAX_RULES:
-        raise ValueError("too many rules: raise min_support")
-    kept: dict[frozenset, tuple] = {}
-    for r in sorted(bounded, key=lambda r: (len(r["antecedent"]), r["antecedent"])):
-        own = frozenset(r["antecedent"])
-        if not any(general <= own and kept[general][1] >= r["confidence"] for general in _subsets(own, kept)):
-            kept[own] = (r["antecedent"], r["confidence"], r["support"])
-    return pages.sparkSession.createDataFrame(sorted(kept.values()), "antecedent array<string>, confidence double, support double")
-
-
-def _subsets(items: frozenset, among: dict):
-    """Those subsets of a few items that are among the keys."""
-    from itertools import combinations
-
-    for n in range(1, len(items)):
-        yield from (s for c in combinations(sorted(items), n) if (s := frozenset(c)) in among)
-
-
-def index_of(rules: DataFrame) -> Lookup:
-    """The inverted index: each rule under the token of its antecedent that the fewest rules have (ties: the first)."""
-    use = rules.select(F.explode("antecedent").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ranked = rules.select("antecedent", "confidence", F.explode("antecedent").alias("t")).join(use, "t").groupBy("antecedent", "confidence").agg(F.min(F.struct("n", "t"))["t"].alias("key"))
-    return Lookup(ranked.withColumn("h", F.xxhash64("key")), "h", F.struct("antecedent", "confidence"), "struct<antecedent:array<string>,confidence:double>", limit=MAX_RULES)
+    h = F.col("h")
+    halves = [F.sum(F.pmod(x, F.lit(1 << 31))).alias(c) for c, x in (("s1", h), ("s2", F.shiftright(h, 31)))]
+    each = tokens.select(F.xxhash64("items").alias("h"), F.explode("items").alias("t")).groupBy("t").agg(F.count("*").alias("n"), *halves)
+    each = each.filter(F.col("n") >= least)
+    first = each.groupBy("n", "s1", "s2").agg(F.min("t").alias("item"))
+    return each.join(first, ["n", "s1", "s2"]).select("t", "item")
+
+
+class Items:
+    """Tokens as the items that stand for them; tokens without one are left out."""
 
+    def __init__(self, classes: DataFrame):
+        self._lookup = Lookup(classes.withColumn("h", F.xxhash64("t")), "h", F.struct("t", "item"), "struct<t:string,item:string>", limit=1_000_000)
 
-def best_confidence(tokens: Column, index: Lookup) -> Column:
-    """The highest confidence of a rule whose antecedent the tokens hold; null if none does."""
-    near = F.flatten(F.transform(tokens, lambda t: index.probe(F.xxhash64(t))))
-    return F.array_max(F.transform(F.filter(near, lambda r: F.size(F.array_except(r["antecedent"], tokens)) == 0), lambda r: r["confidence"]))
+    def of(self, tokens: Column) -> Column:
+        found = F.transform(tokens, lambda t: F.transform(F.filter(self._lookup.probe(F.xxhash64(t)), lambda e: e["t"] == t), lambda e: e["item"]))
+        return F.array_distinct(F.flatten(found))
 
 
-def judge(pages: DataFrame, labels: DataFrame, given: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 6, deviations: float = DEVIATIONS) -> tuple[DataFrame, Items]:
+    """antecedent array<string>, hits, pages, confidence, support: pruned rules for the unwanted class; and the items.
+
+    labelled: url, bad; every row counts, repeated ones as often. hits: bad rows that hold the antecedent; pages: all
+    that do. A rule needs hits on min_support of the rows, hits / pages of min_confidence, and a lower bound of that
+    share, `deviations` below it, above the share of all rows; the fewest hits with which a rule can pass that bound
+    are what is mined for. Antecedents have at most max_tokens items; those of one item are always within. A rule is
+    pruned if its antecedent holds that of a shorter rule of at least its confidence. Null urls have no tokens, null
+    labels are not bad. No rows, none bad or all bad: no rules.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.select(tokens_of(F.col("url")).alias("items"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    total, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    base = bad / max(1, total)
+    least = max(1, ceil(min_support * total), floor(deviations**2 * base / (1 - base)) + 1 if base < 1 else total)
+    items = Items(token_classes(rows, least))
+    if base in (0, 1) or least > bad:
+        return spark.createDataFrame([], RULES), items
+    held = rows.select(items.of(F.col("items")).alias("items"), "bad")
+    held = held.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")).filter(F.size("items") > 0)
+    n = held.count()
+    # half a row below the least, whatever the rounding of the product
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(held).associationRules
+    hits, pages = F.round(F.col("support") * n).cast("long"), F.round(F.col("support") * n / F.col("confidence")).cast("long")
+    rules = found.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_tokens)).select(F.array_sort("antecedent").alias("antecedent"), hits.alias("hits"), pages.alias("pages"))
+    rules = rules.filter((F.col("hits") / F.col("pages") >= min_confidence) & (least_confidence(F.col("hits"), F.col("pages"), deviations) > base))
+    rules = rules.select("antecedent", "hits", "pages", (F.col("hits") / F.col("pages")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support"))
+    return pruned(rules), items
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules without those whose antecedent holds another one's of at least their confidence."""
+    masks = F.sequence(F.lit(1), F.expr("shiftleft(1, size(antecedent)) - 2"))
+    part = F.filter("antecedent", lambda t, i: F.getbit("mask", i) == 1)
+    parts = rules.filter(F.size("antecedent") > 1).select("antecedent", "confidence", F.explode(masks).alias("mask")).select("antecedent", "confidence", part.alias("part"))
+    covered = parts.join(rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("general")), "part").filter("general >= confidence")
+    return rules.join(covered.select("antecedent").distinct(), "antecedent", "left_anti")
+
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    """key, antecedent, confidence: each rule under the item of its antecedent that the fewest rules have."""
+    use = rules.select(F.explode("antecedent").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    each = rules.select("antecedent", "confidence", F.explode("antecedent").alias("t")).join(use, "t")
+    return each.groupBy("antecedent", "confidence").agg(F.min(F.struct("n", "t"))["t"].alias("key"))
+
+
+def with_confidence(pages: DataFrame, rules: DataFrame, items: Items, max_rules: int = MAX_RULES) -> DataFrame:
+    """pages with mined_confidence: the highest of a rule whose antecedent the url's items hold; null if none does.
+
+    Up to max_rules rules are an inverted index in the plan. More are joined by their rarest item with the distinct
+    sets of items, whose results come back without one common set meeting in one task.
+    """
+    keyed, own = _keyed(rules), items.of(tokens_of(F.col("url")))
+    holds = lambda of, antecedent: F.size(F.array_except(antecedent, of)) == 0
+    if rules.limit(max_rules + 1).count() <= max_rules:
+        index = Lookup(keyed.withColumn("h", F.xxhash64("key")), "h", F.struct("antecedent", "confidence"), "struct<antecedent:array<string>,confidence:double>", limit=max_rules)
+        near = F.flatten(F.transform(own, lambda t: index.probe(F.xxhash64(t))))
+        return pages.withColumn("mined_confidence", F.array_max(F.transform(F.filter(near, lambda r: holds(own, r["antecedent"])), lambda r: r["confidence"])))
+    told = pages.withColumn("__set", F.sha2(F.array_join(F.array_sort(own), "\n"), 256))
+    sets = told.withColumn("__own", own).groupBy("__set").agg(F.first("__own").alias("__own"), F.count("*").alias("n"))
+    near = sets.select("__set", "__own", F.explode("__own").alias("key")).join(keyed, "key").filter(holds(F.col("__own"), F.col("antecedent")))
+    best = near.groupBy("__set").agg(F.max("confidence").alias("mined_confidence"))
+    return joined_by_hot_keys(told, sets.select("__set", "n").join(best, "__set"), ["__set"]).drop("__set")
+
+
+def judge(pages: DataFrame, labelled: DataFrame, given: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.6, max_rules: int = MAX_RULES) -> DataFrame:
     """pages with host, path, rule (of those given, else null), mined_confidence and verdict (allow or block).
 
     given: (verdict, host, path); the longest that fits wins, and the mined rules judge the rest: block if one
-    matches. Each row is judged by itself: repeated rows, null ids and other columns pass through.
+    matches. labelled: url, bad, as in mine_rules. Each row is judged by itself: repeated rows, null ids and other
+    columns pass through; columns of pages with the names of the new ones are replaced. An empty table has no rows.
     """
-    index = index_of(mine_rules(pages, labels, min_support, min_confidence))
-    out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "mined_confidence": best_confidence(tokens_of(F.col("url")), index)})
+    rules, items = mine_rules(labelled, min_support, min_confidence)
+    told = pages.drop("host", "path", "rule", "mined_confidence", "verdict")
+    out = with_confidence(told, rules, items, max_rules).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule = verdict = None
     for kind, host, path in sorted(given, key=lambda r: (-len(r[1] + r[2]), r)):
         at = fits(F.col("host"), F.col("path"), host, path)
