@@ -30,9 +30,37 @@ def value_of(c: Column, key: str) -> Column:
     return null_word(strip(F.regexp_replace(best, r"^\[|\]$", "")))
 
 
+#: Keys that become columns, at most.
+MAX_KEYS = 5_000
+
+
+def dotted(c: Column, levels: int = 2) -> Column:
+    """The same array with objects within objects as keys joined by dots, to so many levels; each entry a map of its own."""
+    of = F.flatten(F.transform(c, F.map_entries))
+    for _ in range(levels):
+        inner = lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat_ws(".", F.regexp_replace(e["key"], "^/+|/+$", ""), F.regexp_replace(x["key"], "^/+|/+$", "")).alias("key"), x["value"].alias("value")))
+        of = F.flatten(F.transform(of, lambda e: F.coalesce(F.when(e["value"].rlike(r"^\s*\{"), inner(e)), F.array(e))))
+    return F.transform(of, lambda e: F.create_map(e["key"], e["value"]))
+
+
+def keys_of(df: DataFrame, columns: list[str], most: int = MAX_KEYS) -> dict[str, list[str]]:
+    """The keys in each array column, without slashes at their ends, by name: one pass, and only keys reach the driver."""
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.flatten(F.transform(F.col(f"`{c}`"), F.map_keys)), F.array().cast("array<string>")).alias("ks")) for c in columns])
+    found = df.select(F.explode(each).alias("e")).select("e.c", F.explode("e.ks").alias("k")).select("c", F.regexp_replace("k", "^/+|/+$", "").alias("k")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} keys")
+    return {c: sorted(r["k"] for r in found if r["c"] == c) for c in columns}
+
+
 def flatten(df: DataFrame, column: str, keys: list[str], prefix: str = "") -> DataFrame:
-    """df with a column for each key (named prefix + key) in place of the array."""
-    return df.withColumns({prefix + k: value_of(F.col(f"`{column}`"), k) for k in keys}).drop(column)
+    """df with a column for each key (named prefix + key, '_' for '.') in place of the array.
+
+    Of keys that get the same name the first that has a value counts, by their order.
+    """
+    of: dict[str, list[str]] = {}
+    for k in keys:
+        of.setdefault(prefix + k.replace(".", "_"), []).append(k)
+    return df.withColumns({n: F.coalesce(*[value_of(F.col(f"`{column}`"), k) for k in ks]) for n, ks in of.items()}).drop(column)
 
 
 def coalesce_gtin(df: DataFrame) -> DataFrame:
@@ -55,4 +83,4 @@ def fill_from_parents(df: DataFrame, mark: str = "parent_") -> DataFrame:
     return df.withColumns(filled).drop(*{p for ps in of.values() for p in ps}) if filled else df
 
 
-__all__ = ["clean_keys", "coalesce_gtin", "fill_from_parents", "flatten", "maps", "value_of"]
+__all__ = ["clean_keys", "coalesce_gtin", "dotted", "fill_from_parents", "flatten", "keys_of", "maps", "value_of"]

@@ -105,8 +105,8 @@ def class_name(label: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words of two characters or more; none for null."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-z_]{2,}"), F.lit(0))
+    """Lower-case words of two letters, digits (of any script) or underscores or more; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def ngrams(words: Column, low: int = 1, high: int = 3) -> Column:

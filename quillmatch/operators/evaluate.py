@@ -43,6 +43,12 @@ def report(df: DataFrame, label: str = "label", prediction: str = "prediction")
     return each.unionByName(macro).unionByName(weighted).select("class", *names, "support")
 
 
+def mean_scores(scores_of: DataFrame, by: str) -> DataFrame:
+    """by, metric, score: the means of precision, recall and f1 of the rows of each value, one metric a row."""
+    means = scores_of.groupBy(by).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    return means.unpivot([by], ["precision", "recall", "f1"], "metric", "score")
+
+
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 4096) -> DataFrame:
     """threshold, precision, recall for every distinct score as the least that is predicted 1.
 
@@ -63,12 +69,23 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", buckets:
     return run.select("threshold", (tp / n).alias("precision"), _ratio(tp, F.col("all")).alias("recall"))
 
 
-def pr_area(curve: DataFrame) -> DataFrame:
-    """auc: the trapezoids under precision over recall, to the point (recall 0, precision 1)."""
-    end = curve.sparkSession.createDataFrame([(float("inf"), 1.0, 0.0)], "threshold double, precision double, recall double")
-    w = W.orderBy(F.desc("threshold"))
-    step = curve.unionByName(end).withColumns({"r0": F.lag("recall").over(w), "p0": F.lag("precision").over(w)})
-    return step.agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("auc"))
+def pr_area(curve: DataFrame, buckets: int = 4096) -> DataFrame:
+    """auc: the trapezoids under precision over recall, to the point (recall 0, precision 1).
+
+    Trapezoids are summed within ranges of the threshold; one window over the ranges' ends adds those between them.
+    """
+    low, high = curve.agg(F.min("threshold"), F.max("threshold")).first()
+    width = ((high - low) / buckets or 1.0) if low is not None else 1.0
+    at = F.floor((F.col("threshold") - F.lit(low or 0.0)) / width).cast("int")
+    own, points = W.partitionBy("at").orderBy(F.desc("threshold")), curve.withColumn("at", at)
+    area = lambda r, p, r0, p0: (r - r0) * (p + p0) / 2
+    step = points.withColumn("a", area(F.col("recall"), F.col("precision"), F.lag("recall").over(own), F.lag("precision").over(own)))
+    point = F.struct("threshold", "recall", "precision")
+    ends = step.groupBy("at").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"), F.max(point).alias("first"), F.min(point).alias("last"))
+    above = W.orderBy(F.desc("at"))
+    r0, p0 = F.coalesce(F.lag("last").over(above)["recall"], F.lit(0.0)), F.coalesce(F.lag("last").over(above)["precision"], F.lit(1.0))
+    between = ends.select("a", area(F.col("first")["recall"], F.col("first")["precision"], r0, p0).alias("b"))
+    return between.agg(F.sum(F.col("a") + F.col("b")).alias("auc"))
 
 
 def threshold_picks(curve: DataFrame) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from itertools import product
 from math import log
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmatch.operators.relational import hash_split
+
 
 def standard_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population deviation, fitted on fit_on (else df); columns without spread become 0."""
@@ -50,8 +50,8 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, buckets: int =
 
 
 def random_split(df: DataFrame, key: str, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Two parts by a seeded hash of the key: `percent` of the rows, and the rest; the same on every run."""
-    at = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < percent
+    """Two parts by a seeded digest of the key: `percent` of the rows, and the rest; the same on every run."""
+    at = hash_split([key], percent, seed)
     return df.filter(at), df.filter(~at)
 
 
@@ -74,23 +74,66 @@ def fourier_features(df: DataFrame, columns: list[str], gamma: float, n: int = 1
 
 
 def classifiers(weight: str | None = "weight", seed: int = 0) -> dict:
-    """The four classifiers by name. The kernel machine is a linear one on Fourier features."""
+    """The classifiers by name. The kernel machine is a linear one on Fourier features."""
     w = {"weightCol": weight} if weight else {}
     return {
         "nb": NaiveBayes(modelType="gaussian", **w),
+        "lr": LogisticRegression(regParam=0.01, elasticNetParam=0.5, **w),
         "svc": LinearSVC(maxIter=50, **w),
         "rf": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **w),
         "gbt": GBTClassifier(maxIter=20, maxDepth=4, subsamplingRate=0.8, seed=seed, **w),
     }
 
 
-#: The grids by classifier, in Spark's parameters.
+#: The axes of the searches, coarse with 2 folds and fine with 3. None: without a limit, or all features.
 GRIDS = {
-    "nb": {},
-    "svc": {"regParam": [0.001, 0.01, 0.1, 1.0]},
-    "rf": {"maxDepth": [8, 15], "numTrees": [100, 500], "featureSubsetStrategy": ["sqrt", "0.5"], "minInstancesPerNode": [1, 5]},
-    "gbt": {"stepSize": [0.05, 0.1], "maxDepth": [3, 6], "subsamplingRate": [0.5, 1.0], "maxIter": [100, 200], "minInstancesPerNode": [1, 5]},
-}
+    "svc": {"C": [0.1, 1.0, 10.0, 100.0], "gamma": [1.0, 10.0]},
+    "rf": {"depth": [None, 5], "features": ["sqrt", None], "split": [2, 4], "trees": [500, 1000]},
+    "gbt": {"rate": [0.025, 0.05], "depth": [None, 5], "features": ["sqrt", None], "trees": [150, 300], "sample": [0.33, 0.67]},
+    "rf fine": {"depth": [None, 10], "features": ["sqrt", None], "gain": [0.0, 0.1], "leaf": [1, 5], "split": [2, 5], "trees": [1000, 1500]},
+    "gbt fine": {
+        "rate": [0.01, 0.025], "depth": [None, 10], "features": ["sqrt", None], "leaves": [None, 10], "gain": [0.0, 0.1], "leaf": [1, 5], "split": [2, 5],
+        "trees": [150, 300, 450], "sample": [0.15, 0.33], "warm": [True, False],
+    },
+}
+FOLDS = {"svc": 2, "rf": 2, "gbt": 2, "rf fine": 3, "gbt fine": 3}
+
+#: The deepest tree that Spark grows.
+DEEPEST = 30
+
+
+def spark_params(point: dict, trees: float = 1.0) -> dict:
+    """A point of a grid in Spark's parameters of forests and boosted trees.
+
+    A node of fewer than `split` rows is not split: Spark bounds the rows of both halves instead, by half of it. No
+    depth: DEEPEST. Spark has no bound of leaves and no warm start; points that differ in these alone are one.
+    trees: a factor for their number.
+    """
+    out = {}
+    if "depth" in point:
+        out["maxDepth"] = point["depth"] or DEEPEST
+    if "features" in point:
+        out["featureSubsetStrategy"] = point["features"] or "all"
+    if "leaf" in point or "split" in point:
+        out["minInstancesPerNode"] = max(point.get("leaf", 1), -(-point.get("split", 2) // 2))
+    if "gain" in point:
+        out["minInfoGain"] = point["gain"]
+    if "trees" in point:
+        out["maxIter" if "rate" in point else "numTrees"] = max(1, round(point["trees"] * trees))
+    if "rate" in point:
+        out["stepSize"] = point["rate"]
+    if "sample" in point:
+        out["subsamplingRate"] = point["sample"]
+    return out
+
+
+def spark_points(grid: dict[str, list], trees: float = 1.0) -> list[dict]:
+    """The distinct points of a grid that Spark can tell apart."""
+    found = []
+    for p in grid_rows(grid):
+        if (q := spark_params(p, trees)) not in found:
+            found.append(q)
+    return found
 
 
 def grid_rows(grid: dict[str, list]) -> list[dict]:
@@ -103,13 +146,40 @@ def grid_size(grid: dict[str, list], folds: int) -> int:
     return len(grid_rows(grid)) * folds
 
 
-def grid_search(train: DataFrame, estimator, grid: dict[str, list], fold: str = "fold", folds: int = 2, metric: str = "accuracy", parallelism: int = 4):
-    """The cross-validated model, refitted on all of train with the best parameters. fold: a column of whole numbers."""
-    builder = ParamGridBuilder()
-    for k, v in grid.items():
-        builder.addGrid(getattr(estimator, k), v)
+def grid_search(train: DataFrame, estimator, points: list[dict], fold: str = "fold", folds: int = 2, metric: str = "accuracy", parallelism: int = 4):
+    """The cross-validated model, refitted on all of train with the best point. fold: a column of whole numbers."""
+    maps = [{getattr(estimator, k): v for k, v in p.items()} for p in points]
     judge = MulticlassClassificationEvaluator(metricName=metric)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+    return CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+
+
+def kernel_search(train: DataFrame, columns: list[str], grid: dict[str, list] = GRIDS["svc"], folds: int = 2, components: int = 128, weight: str | None = "weight"):
+    """gamma and the cross-validated linear machine on its Fourier features that does best over all C and gamma.
+
+    A cost C per row is a regularisation of 1 / (C * rows).
+    """
+    n, best = train.count(), None
+    svc = classifiers(weight)["svc"]
+    for gamma in grid["gamma"]:
+        made = grid_search(fourier_features(train, columns, gamma, components), svc, [{"regParam": 1 / (c * n)} for c in grid["C"]], folds=folds)
+        if best is None or max(made.avgMetrics) > max(best[1].avgMetrics):
+            best = gamma, made
+    return best
+
+
+def search_refit_predict(train: DataFrame, test: DataFrame, points: dict[str, list[dict]], key: str, label: str = "label", folds: int = 2) -> tuple[dict, DataFrame]:
+    """Models by name, each the best of its points over stratified folds and refitted on all of train; and model, key,
+    label, prediction, score of the test rows. An empty list of points: fitted as it is. Both tables: features, label."""
+    dealt = stratified_folds(with_weights(train, label), label, key, folds)
+    made, told = {}, None
+    for name, each in points.items():
+        estimator = classifiers()[name]
+        made[name] = grid_search(dealt, estimator, each, folds=folds).bestModel if each else estimator.fit(dealt)
+        out = made[name].transform(test)
+        score = vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double")
+        out = out.select(F.lit(name).alias("model"), key, label, "prediction", score.alias("score"))
+        told = out if told is None else told.unionByName(out)
+    return made, told
 
 
 def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
@@ -129,62 +199,162 @@ def importances(model, columns: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(columns, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def elastic_net(train: DataFrame, columns: list[str], mixes: list[float] = (0.0, 0.5, 1.0), penalties: list[float] = (0.001, 0.01, 0.1), folds: int = 5, label: str = "label"):
-    """The best logistic regression over a grid of mixes (held to 0 .. 1) and penalties."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label, **({"weightCol": "weight"} if "weight" in train.columns else {}))
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, sorted({min(1.0, max(0.0, x)) for x in mixes})).addGrid(lr.regParam, list(penalties)).build()
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return CrossValidator(estimator=Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), lr]), estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=7, parallelism=4).fit(train)
+#: The exponents of ten of both axes of the first elastic-net grid.
+EXPONENTS = range(-3, 4)
+
+
+def elastic_net(train: DataFrame, columns: list[str], mixes: list[float] | None = None, penalties: list[float] | None = None, key: str = "vec_id", folds: int = 5, repeats: int = 3, label: str = "label", parallelism: int = 8):
+    """The best logistic regression over mixes (held to 0 .. 1; those that then are equal are one) and penalties.
+
+    Accuracy is the mean over `folds` stratified folds, dealt `repeats` times; ties go to the earlier point. Returns
+    the model refitted on all of train, its mix and its penalty.
+    """
+    mixes = sorted({min(1.0, max(0.0, x)) for x in (mixes or [10.0**i for i in EXPONENTS])})
+    points = [{"elasticNetParam": m, "regParam": p} for m in mixes for p in (penalties or [10.0**i for i in EXPONENTS])]
+    lr = LogisticRegression(labelCol=label, maxIter=50, **({"weightCol": "weight"} if "weight" in train.columns else {}))
+    whole = assembled(train, columns).select(key, label, "features", *(["weight"] if "weight" in train.columns else []))
+    totals = [0.0] * len(points)
+    for r in range(repeats):
+        dealt = stratified_folds(whole.withColumn("__turn", F.xxhash64(key, F.lit(r))), label, "__turn", folds).drop("__turn")
+        judged = grid_search(dealt, lr, points, folds=folds, parallelism=parallelism)
+        totals = [t + m for t, m in zip(totals, judged.avgMetrics, strict=True)]
+    best = points[max(range(len(points)), key=lambda i: (totals[i], -i))]
+    return lr.copy({getattr(lr, k): v for k, v in best.items()}).fit(whole), best["elasticNetParam"], best["regParam"]
+
+
+def elastic_net_refined(train: DataFrame, columns: list[str], **parameters):
+    """elastic_net twice: over the coarse grid, then over finer values around its best point."""
+    _, mix, penalty = elastic_net(train, columns, **parameters)
+    return elastic_net(train, columns, finer(mix) if mix else [0.0], finer(penalty), **parameters)
+
+
+def finer(value: float, multiplier: int = 3) -> list[float]:
+    """A refined grid around a value: its multiples up to `multiplier`, and as many even steps up to it from below."""
+    return sorted([*(value * i / multiplier for i in range(1, multiplier)), *(value * i for i in range(1, multiplier + 1))])
+
 
+def coefficients(spark, model, columns: list[str]) -> DataFrame:
+    """feature, coefficient, importance of a logistic model, joined by feature; the intercept has no importance and goes."""
+    values = [float(x) for x in model.coefficients.toArray()]
+    coefs = spark.createDataFrame([("(Intercept)", float(model.intercept)), *zip(columns, values, strict=True)], "feature string, coefficient double")
+    return coefs.join(spark.createDataFrame([(c, abs(x)) for c, x in zip(columns, values, strict=True)], "feature string, importance double"), "feature")
 
-def finer(value: float, multiplier: float = 3) -> list[float]:
-    """A refined grid around a value."""
-    return [value / multiplier, value, value * multiplier]
 
+def correlation_matrix(df: DataFrame, columns: list[str]):
+    """Pearson's, of every two columns, as an array: one pass, and only the matrix reaches the driver."""
+    from pyspark.ml.stat import Correlation
 
-def informative(df: DataFrame, columns: list[str], least_variance: float = 1e-8, most_correlation: float = 0.9) -> list[str]:
-    """Columns that vary and of which no two correlate more than allowed; the later of two goes."""
-    var = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
-    kept = [c for c in columns if (var[c] or 0) > least_variance]
+    return Correlation.corr(assembled(df.select(*columns), columns, "__v"), "__v").first()[0].toArray()
+
+
+def near_zero_variance(df: DataFrame, columns: list[str], most_ratio: float = 19.0, least_unique: float = 0.1) -> list[str]:
+    """Columns of one value, or whose commonest value is over most_ratio times the next one, of few distinct values."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value IS NOT NULL")
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    first = W.partitionBy("column").orderBy(F.desc("n"), "value")
+    two = counts.withColumn("r", F.row_number().over(first)).filter("r <= 2").groupBy("column").agg(F.max("n").alias("a"), F.count("*").alias("k"), F.min("n").alias("b"))
+    size = counts.groupBy("column").agg(F.count("*").alias("unique"), F.sum("n").alias("rows"))
+    out = {r["column"]: r for r in two.join(size, "column").collect()}
+    return [c for c in columns if c not in out or out[c]["k"] == 1 or (out[c]["a"] / out[c]["b"] > most_ratio and out[c]["unique"] / out[c]["rows"] <= least_unique)]
+
+
+def informative(df: DataFrame, columns: list[str], most_correlation: float = 0.9) -> list[str]:
+    """Columns that vary, and of which no two correlate more than allowed.
+
+    Pairs are looked at in the order of their columns' mean correlation, highest first; of two that correlate too
+    much, that goes which correlates more with all columns that are left.
+    """
+    import numpy as np
+
+    gone = set(near_zero_variance(df, columns))
+    kept = [c for c in columns if c not in gone]
     if len(kept) < 2:
         return kept
-    pairs = [(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]]
-    corr = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    gone: set[str] = set()
-    for i, (a, b) in enumerate(pairs):
-        if a not in gone and abs(corr[i] or 0) > most_correlation:
-            gone.add(b)
-    return [c for c in kept if c not in gone]
+    m = np.abs(correlation_matrix(df, kept))
+    np.fill_diagonal(m, np.nan)
+    left = np.ones(len(kept), bool)
+    order = np.argsort(-np.nanmean(m, axis=0), kind="stable")
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if left[i] and left[j] and m[i, j] > most_correlation:
+                means = np.nanmean(m[:, left], axis=1)
+                left[i if means[i] > means[j] else j] = False
+    return [c for c, x in zip(kept, left, strict=True) if x]
+
+
+def _binomial_fits(rows: DataFrame, models: list[list[int]], starts: list, iterations: int = 25, tolerance: float = 1e-8) -> list[tuple]:
+    """(coefficients, deviance) of binomial models of some columns of x each, all at once.
+
+    rows: x array<double>, with the 1 of the intercept, and y. Every iteration of Fisher scoring is one pass over the
+    rows for all models; only their small matrices reach the driver.
+    """
+    import numpy as np
 
+    width, beta, dev, open_ = len(models), [np.array(s, float) for s in starts], [np.inf] * len(models), set(range(len(models)))
+
+    def passed(batches):
+        import pyarrow as pa
+
+        totals = {i: [np.zeros((len(models[i]),) * 2), np.zeros(len(models[i])), 0.0] for i in now}
+        for b in batches:
+            x, y = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy()
+            for i, t in totals.items():
+                own = x[:, models[i]]
+                eta = np.clip(own @ given[i], -30, 30)
+                p = 1 / (1 + np.exp(-eta))
+                w = p * (1 - p)
+                t[0] += (own * w[:, None]).T @ own
+                t[1] += own.T @ (w * eta + y - p)
+                t[2] += float(2 * np.logaddexp(0, np.where(y > 0, -eta, eta)).sum())
+        for i, (a, v, d) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([[*a.ravel(), *v, d]])], ["model", "sums"])
+
+    for _ in range(iterations):
+        if not open_:
+            break
+        now, given = sorted(open_), {i: beta[i] for i in open_}
+        sums: dict[int, np.ndarray] = {}
+        for r in rows.mapInArrow(passed, "model long, sums array<double>").collect():  # one row a partition and model
+            sums[r["model"]] = sums.get(r["model"], 0) + np.array(r["sums"])
+        for i in now:
+            k, s = len(models[i]), sums[i]
+            if abs(dev[i] - s[-1]) <= tolerance * (abs(s[-1]) + 0.1):
+                open_.discard(i)
+            else:
+                beta[i] = np.linalg.lstsq(s[: k * k].reshape(k, k), s[k * k : -1], rcond=None)[0]
+            dev[i] = s[-1]
+    return list(zip(beta, dev, strict=True)) if width else []
 
-def stepwise_glm(train: DataFrame, columns: list[str], label: str = "label") -> tuple[list[str], float]:
-    """Backward selection of a binomial model by the Bayesian information criterion: what is left, and its value."""
-    n = train.count()
 
-    def bic(cols: list[str]) -> float:
-        model = GeneralizedLinearRegression(family="binomial", labelCol=label, maxIter=25).fit(assembled(train.drop("features"), cols))
-        return model.summary.deviance + log(n) * (len(cols) + 1)
+def stepwise_glm(train: DataFrame, columns: list[str], label: str = "label") -> tuple[list[str], float]:
+    """Backward selection of a binomial model by the Bayesian information criterion: what is left, and its value.
 
-    left, best = list(columns), bic(list(columns))
-    while len(left) > 1:
-        value, gone = min((bic([c for c in left if c != x]), x) for x in left)
-        if value >= best:
-            break
-        left, best = [c for c in left if c != gone], value
-    return left, best
+    All models of a step, each without one column, are fitted together and start from the one before. Rows with a
+    null in a column or the label are left out.
+    """
+    one = train.select(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("double").alias("y"))
+    rows = one.filter(F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull()).persist()
+    try:
+        n, left = rows.count(), list(range(1, len(columns) + 1))
+        beta, deviance = _binomial_fits(rows, [[0, *left]], [[0.0] * (len(left) + 1)])[0]
+        best = deviance + log(n) * (len(left) + 1)
+        while len(left) > 1:
+            fits = _binomial_fits(rows, [[0, *[c for c in left if c != x]] for x in left], [[b for i, b in enumerate(beta) if i != at + 1] for at in range(len(left))])
+            value, at = min((d + log(n) * len(left), at) for at, (_, d) in enumerate(fits))
+            if value >= best:
+                break
+            best, beta = value, fits[at][0]
+            del left[at]
+        return [columns[i - 1] for i in left], float(best)
+    finally:
+        rows.unpersist()
 
 
 def inflation_factors(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Variance-inflation factors: the diagonal of the inverse correlation matrix."""
     import numpy as np
 
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    m = np.eye(len(columns))
-    for value, (a, b) in zip(row, pairs, strict=True):
-        i, j = columns.index(a), columns.index(b)
-        m[i, j] = m[j, i] = value
-    return dict(zip(columns, np.diag(np.linalg.inv(m)).tolist(), strict=True))
+    return dict(zip(columns, np.diag(np.linalg.inv(correlation_matrix(df, columns))).tolist(), strict=True))
 
 
 def gaussian_parameters(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:

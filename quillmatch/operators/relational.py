@@ -83,14 +83,47 @@ def blocked_pairs(df: DataFrame, key: str, blocks: list[str], left: str = "k1",
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by an explicit order."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", n).filter("__n = 1").drop("__n")
+    """The first row of each key by an explicit order, nulls first; rows that tie there may be any of them.
 
+    An aggregate, so that rows of one key are thinned out before they are shuffled. Null keys are keys.
+    """
+    row, by = F.struct(*[f"`{c}`" for c in df.columns]), F.struct(*[f"`{c}`" for c in order])
+    return df.groupBy(*keys).agg(F.min_by(row, by).alias("__r")).select("__r.*")
 
-def mark_duplicates(df: DataFrame, keys: list[str], name: str = "is_duplicate") -> DataFrame:
-    """Whether a row shares its key with another; null keys are keys."""
-    return df.withColumn(name, F.count("*").over(W.partitionBy(*keys)) > 1)
+
+def mark_duplicates(df: DataFrame, keys: list[str], name: str = "is_duplicate", broadcast_rows: int = BROADCAST_KEYS) -> DataFrame:
+    """Whether a row shares its key with another; null keys are keys.
+
+    Keys that repeat are counted first; while they are few they are broadcast, so a common key is no one task's work.
+    """
+    far = {k: f"__{k}" for k in keys}
+    again = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").select(*[F.col(k).alias(v) for k, v in far.items()], F.lit(True).alias("__again"))
+    few = again.limit(broadcast_rows + 1).count() <= broadcast_rows
+    on = [F.col(k).eqNullSafe(F.col(v)) for k, v in far.items()]
+    return df.join(F.broadcast(again) if few else again, on, "left").withColumn(name, F.coalesce("__again", F.lit(False))).drop(*far.values(), "__again")
+
+
+def numbered(df: DataFrame, group: list[str], by: str, ties: list[str] = (), buckets: int = 1024, name: str = "n") -> DataFrame:
+    """df with the number from 1 of each row in its group, by the order of a number `by` (then ties).
+
+    Rows are ranked within ranges of `by` and offset by the counts of the ranges below, so no task sorts a group.
+    """
+    low, high = df.agg(F.min(by).cast("double"), F.max(by).cast("double")).first()
+    width = ((high - low) / buckets or 1.0) if low is not None else 1.0
+    at = F.coalesce(F.floor((F.col(by).cast("double") - F.lit(low or 0.0)) / width), F.lit(-1)).cast("int")
+    rows = df.withColumn("__at", at)
+    counts = rows.groupBy(*group, "__at").agg(F.count("*").alias("__c"))
+    before = W.partitionBy(*group).orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__at").alias("__range"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(W.partitionBy(*group, "__at").orderBy(by, *ties))
+    on = [*[F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__at") == F.col("__range")]
+    out = rows.withColumn("__rank", rank).join(counts, on).withColumn(name, (F.col("__base") + F.col("__rank")).cast("long"))
+    return out.drop("__at", "__rank", "__range", "__base", *[f"__{g}" for g in group])
+
+
+def join_complete(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
+    """The inner join without columns that hold nothing and without repeated rows."""
+    return drop_all_null(df.join(other, on)).distinct()
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
@@ -104,8 +137,18 @@ def melt(df: DataFrame, ids: list[str], values: list[str], variable: str = "vari
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """n rows by the order of a seeded hash of their keys: the same on every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """n rows by the order of a seeded digest of their keys: the same on every run and in every engine."""
+    return df.orderBy(digest(keys, seed), *keys).limit(n)
+
+
+def digest(keys: list[str], seed: int) -> Column:
+    """The MD5, in hex digits, of the keys and the seed with '|' between them."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+
+
+def hash_split(keys: list[str], percent: int, seed: int) -> Column:
+    """Whether a row is among the `percent` of a seeded random split."""
+    return F.conv(F.substring(digest(keys, seed), 1, 8), 16, 10).cast("long") % 100 < percent
 
 
 def sorted_pair(a: Column, b: Column) -> Column:

@@ -47,13 +47,81 @@ def null_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def five_numbers(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """n, min, q1, median, q3, max by group, exactly."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return out.select(*groups, "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], "max")
+    out = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, value, groups, [0.25, 0.5, 0.75])
+    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    both = out.join(F.broadcast(q.withColumnsRenamed({g: f"__{g}" for g in groups})), on, "left") if groups else out.crossJoin(F.broadcast(q))
+    return both.select(*groups, "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], "max")
+
+
+#: Groups whose quantiles are sought at once; bins of all of them in one pass; rows of a range that are ranked as they are.
+GROUPS, BINS, RANKED = 10_000, 262_144, 100_000
+
+
+def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float], ranked: int = RANKED) -> DataFrame:
+    """groups, q array<double>: exact interpolated quantiles of a number, of at most GROUPS groups (else ValueError).
+
+    The ranks sought are located by ever finer histograms, all at once: only counts of bins are shuffled, and rows
+    only of ranges that hold no more than `ranked` of them. Null and NaN values count as none; a group without values
+    has nulls. Null groups are groups.
+    """
+    spark, v = df.sparkSession, F.col(value).cast("double")
+    base = df.select(*groups, F.when(~F.isnan(v), v).alias("__v"))
+    whole = base.groupBy(*groups).agg(F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    found = whole.limit(GROUPS + 1).collect()
+    if len(found) > GROUPS:
+        raise ValueError(f"over {GROUPS} groups")
+    kinds = ", ".join(f"`__{g}` {dict(whole.dtypes)[g]}" for g in groups)
+    # (group, rank from 0) -> lowest and highest value that it may be, values below, values within
+    ranks = {(i, r): [g["__lo"], g["__hi"], 0, g["__n"]] for i, g in enumerate(found) if g["__n"] for s in shares for r in {int((g["__n"] - 1) * s), -int(-(g["__n"] - 1) * s // 1)}}
+
+    def inside(which):
+        """Rows of the ranges, each with the range's number."""
+        ranges = sorted({(i, *ranks[i, r][:2]) for i, r in which})
+        rows = [(*[found[i][g] for g in groups], k, lo, hi) for k, (i, lo, hi) in enumerate(ranges)]
+        table = spark.createDataFrame(rows, f"{kinds}{', ' if groups else ''}__k int, __low double, __high double")
+        on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] + [F.col("__v").between(F.col("__low"), F.col("__high"))]
+        return {x: k for k, x in enumerate(ranges)}, base.join(F.broadcast(table), on)
+
+    while wide := [x for x, (lo, hi, _, n) in ranks.items() if lo < hi and n > ranked]:
+        number, rows = inside(wide)
+        bins = max(2, BINS // len(number))
+        width = (F.col("__high") - F.col("__low")) / bins
+        at = F.least(F.floor((F.col("__v") - F.col("__low")) / F.when(width > 0, width).otherwise(1.0)), F.lit(bins - 1)).alias("at")
+        counts: dict[int, list] = {}
+        for k, _, n, lo, hi in rows.groupBy("__k", at).agg(F.count("*"), F.min("__v").alias("lo"), F.max("__v")).orderBy("__k", "lo").collect():
+            counts.setdefault(k, []).append((n, lo, hi))
+        for i, r in wide:
+            lo, hi, below, _ = ranks[i, r]
+            for n, a, b in counts[number[i, lo, hi]]:
+                if r < below + n:
+                    ranks[i, r] = [a, b, below, n]
+                    break
+                below += n
+    if some := [x for x, (lo, hi, _, _) in ranks.items() if lo < hi]:
+        number, rows = inside(some)
+        each = rows.groupBy("__k", "__v").agg(F.count("*").alias("c"))
+        upto = each.withColumn("upto", F.sum("c").over(W.partitionBy("__k").orderBy("__v")))
+        sought = spark.createDataFrame([(number[i, *ranks[i, r][:2]], i, r, r - ranks[i, r][2]) for i, r in some], "k int, i int, r long, own long")
+        hit = upto.join(F.broadcast(sought), (F.col("__k") == F.col("k")) & (F.col("own") < F.col("upto")) & (F.col("own") >= F.col("upto") - F.col("c")))
+        for i, r, x in hit.select("i", "r", "__v").collect():
+            ranks[i, r][:2] = x, x
+    out = []
+    for i, g in enumerate(found):
+        qs = []
+        for s in shares if g["__n"] else []:
+            p = (g["__n"] - 1) * s
+            a, b = ranks[i, int(p)][0], ranks[i, -int(-p // 1)][0]
+            qs.append(a + (b - a) * (p - int(p)))
+        out.append((*[g[c] for c in groups], qs or [None] * len(shares)))
+    own = ", ".join(f"`{g}` {dict(whole.dtypes)[g]}" for g in groups)
+    return spark.createDataFrame(out, f"{own}{', ' if groups else ''}q array<double>")
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).unpivot([], columns, "column", "median")
+    """column, median."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return quantiles(long, "value", ["column"], [0.5]).select("column", F.col("q")[0].alias("median"))
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
@@ -64,11 +132,26 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std (sample), min, q1, median, q3, max of numbers."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    one = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, q).alias("q"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
-    each = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])))
-    s = F.col("s")
-    return each.select("column", *[s[x].alias(x) for x in ("n", "mean", "std", "min")], *[s["q"][i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], s["max"].alias("max"))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    five = five_numbers(long, "value", ["column"])
+    more = long.groupBy(F.col("column").alias("__c")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return five.join(F.broadcast(more), F.col("column") == F.col("__c")).select("column", "n", "mean", "std", "min", "q1", "median", "q3", "max")
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, distinct, top, freq, low, high of columns of any type, as text: what describe says of all columns.
+
+    top: the value that occurs most often (ties: the first by text), freq: how often. Values are counted by hash
+    partitions, and all columns in one pass.
+    """
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    counts = long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("c"))
+    per = counts.groupBy("column").agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), F.max("c").alias("freq"), F.min("value").alias("low"), F.max("value").alias("high"))
+    top = counts.join(F.broadcast(per.select(F.col("column").alias("__c"), F.col("freq").alias("__f"))), (F.col("column") == F.col("__c")) & (F.col("c") == F.col("__f")))
+    top = top.groupBy(F.col("__c")).agg(F.min("value").alias("top"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = every.join(F.broadcast(per), "column", "left").join(F.broadcast(top), F.col("column") == F.col("__c"), "left")
+    return out.select("column", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("distinct", F.lit(0)).alias("distinct"), "top", "freq", "low", "high")
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:

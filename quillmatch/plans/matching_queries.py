@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmatch.functions import jsonflat, similarity, stem, text
-from quillmatch.operators import relational, stats, vectors
+from quillmatch.operators import models, relational, stats, vectors
+from quillmatch.plans import matching
 from quillmatch.plans.catalog import query
 
 PAIRS = "SELECT a.p_partkey AS k1, b.p_partkey AS k2, {} FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
@@ -160,7 +161,7 @@ def single_doc_concat(t):
     return t.part.select("p_partkey", text.joined_document([F.col("p_name"), F.col("p_brand"), kind], price).alias("document"))
 
 
-TERMS = r"SELECT doc_id, lang, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS ws FROM documents"
+TERMS = r"SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws FROM documents"
 TFIDF = f"""
 WITH t AS ({TERMS}), x AS (SELECT doc_id, unnest(ws) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
@@ -189,8 +190,7 @@ def tfidf_cosine_pairs(t):
   UNION ALL SELECT doc_id, lang, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM (SELECT doc_id, lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM t)
 ) SELECT lang, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, max(df) AS most FROM (SELECT lang, term, count(DISTINCT doc_id) AS df FROM g GROUP BY ALL) GROUP BY lang""")
 def ngram_df(t):
-    tf = vectors.term_counts(t.documents, "doc_id", "text", 1, 3, groups=("lang",))
-    df = tf.groupBy("lang", "term").agg(F.count("*").alias("df"))
+    df = vectors.document_frequencies(t.documents, "text", 1, 3, groups=("lang",))
     return df.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most"))
 
 
@@ -256,7 +256,61 @@ def equal_columns(t):
     return t.labels.agg(F.count("*").alias("n"), equal.alias("equal"), F.round(equal / F.count("*"), 6).alias("share"))
 
 
-@query("SELECT mix, penalty FROM (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS mix), (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS penalty)")
+@query("SELECT mix, penalty FROM (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS mix), (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS penalty)")
 def parameter_grid(t):
-    powers = F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: F.pow(F.lit(10.0), i))
-    return t._spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0)))).alias("mix"), powers.alias("p")).select("mix", F.explode("p").alias("penalty"))
+    """The first elastic-net grid as it stands, before mixes are held to 0 .. 1."""
+    powers = F.transform(F.sequence(F.lit(models.EXPONENTS[0]), F.lit(models.EXPONENTS[-1])), lambda i: F.pow(F.lit(10.0), i))
+    return t._spark.range(1).select(F.explode(powers).alias("mix"), powers.alias("p")).select("mix", F.explode("p").alias("penalty"))
+
+
+@query("SELECT v AS value, unnest([v / 3, 2 * v / 3, v, 2 * v, 3 * v]) AS finer FROM (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS v)")
+def refined_grid(t):
+    values = [10.0**i for i in models.EXPONENTS]
+    return t._spark.createDataFrame([(v, x) for v in values for x in models.finer(v)], "value double, finer double")
+
+
+TFIDF3 = TFIDF.replace("x AS (SELECT doc_id, unnest(ws) AS term FROM t)", """x AS (SELECT doc_id, unnest(ws) AS term FROM t
+  UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM t)
+  UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t))""").replace("FROM documents", "FROM conversations_of").replace("WITH t", "WITH conversations_of AS (SELECT conv_id * 1000 + turn AS doc_id, role AS lang, text FROM conversations), t")
+
+
+@query(f"{TFIDF3} SELECT doc_id, count(*) AS terms, round(max(w), 6) AS top, round(sum(w * w), 6) AS norm FROM w GROUP BY doc_id")
+def tfidf_three_grams(t):
+    """Weights of one, two and three words, as the features take them; of the turns of conversations."""
+    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    w = vectors.tfidf(docs, "doc_id", "text", 1, 3)
+    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("top"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
+
+
+def pair_rows(t):
+    """Pairs of parts and suppliers from two files each; a pair is in several files, and in train and test."""
+    item = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("offer_id_1"), F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("offer_id_2"), F.pmod("l_linenumber", F.lit(2)).cast("tinyint").alias("label"), F.when(F.col("l_returnflag") == "R", "shoes_train").when(F.col("l_returnflag") == "A", "gs_shoes").otherwise("cameras_train").alias("filename"))
+    return item.withColumns({"dataset": text.dataset_of(F.col("filename")), "file_category": text.file_category(F.col("filename"))})
+
+
+@query("""SELECT DISTINCT *, CASE WHEN contains(filename, 'train') THEN 'train' ELSE 'test' END AS dataset, split_part(replace(replace(filename, 'gs_', ''), '_train', ''), '_', 1) AS file_category FROM (
+  SELECT 'p' || (l_partkey % 50) AS offer_id_1, 's' || (l_suppkey % 20) AS offer_id_2, l_linenumber % 2 AS label, CASE l_returnflag WHEN 'R' THEN 'shoes_train' WHEN 'A' THEN 'gs_shoes' ELSE 'cameras_train' END AS filename FROM lineitem
+) WHERE NOT (offer_id_1 = 'p1' AND offer_id_2 = 's2' AND label = 0)""")
+def pair_cleaning(t):
+    rows = pair_rows(t)
+    out = matching.clean_pairs(rows.filter("dataset = 'train'"), rows.filter("dataset = 'test'"), bad=[("p1", "s2", 0)])
+    return out.withColumn("label", F.col("label").cast("int"))
+
+
+@query("""SELECT 'n' || p_partkey || ' http://www.shop.com/' || p_partkey AS offer_id, 'www.shop.com' AS domain, CAST(p_size AS VARCHAR) AS gtin, lower(p_brand) AS brand, p_name AS name,
+  CASE WHEN p_size % 2 = 0 THEN p_type END AS color, CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'none' END AS offers_sku, CAST(p_size AS DOUBLE) AS price, p_partkey % 7 AS cluster_id FROM part""")
+def offer_flattening(t):
+    """Offers made of parts: keys that no list knows, objects within objects, gtin variants, the word null, parents."""
+    p, c = t.part, F.col
+    obj = lambda key, value: F.concat(F.lit(f'{{"/{key}": "['), value, F.lit(']"}'))
+    array = lambda *os: F.concat(F.lit("["), F.concat_ws(",", *os), F.lit("]"))
+    size = c("p_size").cast("string")
+    own = array(obj("name", c("p_name")), F.when(c("p_size") % 2 == 0, obj("color", c("p_type"))).otherwise(obj("color", F.lit("null"))), F.when(c("p_size") % 3 == 0, F.concat(F.lit('{"/offers": {"/sku": "['), c("p_type"), F.lit(']"}}'))))
+    rows = p.select(
+        F.concat(F.lit("n"), c("p_partkey")).alias("nodeID"), F.concat(F.lit("http://www.shop.com/"), c("p_partkey")).alias("url"), (c("p_partkey") % 7).alias("cluster_id"),
+        jsonflat.maps(array(F.when(c("p_size") % 2 == 0, obj("gtin8", size)).otherwise(obj("gtin13", size)))).alias("identifiers"), jsonflat.maps(own).alias("schema.org_properties"),
+        jsonflat.maps(array(obj("brand", F.lower("p_brand")), obj("offers.sku", F.lit("none")), obj("price", F.concat(F.lit("USD "), size)))).alias("parent_schema.org_properties"),
+        F.lit(None).cast("string").alias("parent_NodeID"), F.lit("x").alias("availability"),
+    )
+    flat = matching.flat_offers(rows, rows.select(text.offer_id(c("nodeID"), c("url")).alias("offer_id")))
+    return flat.select("offer_id", "domain", "gtin", "brand", "name", "color", "offers_sku", "price", "cluster_id")

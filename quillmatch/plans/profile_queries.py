@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text
 from quillmatch.operators import evaluate, models, relational, stats
 from quillmatch.plans.catalog import query
+from quillmatch.sources import writers
+from quillmatch.sources.scratch import scratch
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LABELLED = "documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
@@ -80,12 +81,12 @@ def column_medians(t):
     return stats.medians(t.lineitem, ["l_quantity", "l_discount"]).withColumn("median", F.round("median", 6))
 
 
-@query("""SELECT variable, value, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY variable ORDER BY n DESC, value) AS INTEGER) AS rank FROM (
-SELECT variable, substr(value, 1, 25) AS value, count(*) AS n FROM (SELECT 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT 'p_name', p_name FROM part UNION ALL SELECT 'p_type', p_type FROM part) GROUP BY ALL)) WHERE rank <= 10""")
+@query("""SELECT variable, substr(value, 1, 25) AS value, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY variable ORDER BY n DESC, value) AS INTEGER) AS rank FROM (
+SELECT variable, value, count(*) AS n FROM (SELECT 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT 'p_name', p_name FROM part UNION ALL SELECT 'p_type', p_type FROM part) GROUP BY ALL)) WHERE rank <= 10""")
 def top_values_per_group(t):
     long = relational.melt(t.part, [], ["p_brand", "p_name", "p_type"]).dropna()
-    counts = long.groupBy("variable", text.prefix(F.col("value")).alias("value")).agg(F.count("*").alias("n"))
-    return relational.top_per_group(counts, ["variable"], [F.desc("n"), "value"], 10)
+    counts = long.groupBy("variable", "value").agg(F.count("*").alias("n"))
+    return relational.top_per_group(counts, ["variable"], [F.desc("n"), "value"], 10).withColumn("value", text.prefix(F.col("value")))
 
 
 @query("SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY 1")
@@ -169,8 +170,9 @@ def composite_key_join(t):
 @query("""WITH p AS (SELECT a.p_partkey AS k1, b.p_partkey AS k2, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
 SELECT p_brand, count(DISTINCT id) AS n FROM (SELECT p_brand, k1 AS id FROM p UNION ALL SELECT p_brand, k2 FROM p) GROUP BY 1""")
 def unique_by_dataset(t):
-    pairs = relational.blocked_pairs(t.part, "p_partkey", ["p_brand", "p_size"]).join(t.part.select(F.col("p_partkey").alias("k1"), "p_brand"), "k1")
-    return relational.stack_ids(pairs, ["k1", "k2"], ["p_brand"], "id").distinct().groupBy("p_brand").agg(F.count("*").alias("n"))
+    # every part of a block of two or more is in a pair, so the blocks' sizes tell
+    blocks = t.part.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).filter("n > 1")
+    return blocks.groupBy("p_brand").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT p_partkey, 'p_retailprice' AS variable, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS DOUBLE) FROM part""")
@@ -184,7 +186,7 @@ def drop_all_null(t):
     return relational.drop_all_null(t.customer.select("c_custkey", "c_name", F.lit(None).cast("string").alias("empty")))
 
 
-@query()
+@query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 ORDER BY md5(doc_id || '|42'), doc_id LIMIT 4")
 def sampled_pairs(t):
     return relational.sample_rows(t.labels.filter("quality = 1"), ["doc_id"], 4, 42)
 
@@ -276,23 +278,31 @@ def stratified_folds(t):
     return out.groupBy("quality", "fold").agg(F.count("*").alias("n"))
 
 
-COLUMNS = [f"x{i}" for i in range(1, 5)]
+WIDTH = 64
+COLUMNS = [f"x{i}" for i in range(1, WIDTH + 1)]
 
 
 def vectors_of(t):
-    """label (class below 5), vec_id and the first components of each embedding as columns."""
+    """label (class below 5), vec_id and all components of each embedding as columns."""
     return t.embeddings.select("vec_id", (F.col("label") < 5).cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COLUMNS)])
 
 
-@query("WITH v AS (SELECT CAST(label < 5 AS INTEGER) AS label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS x{i}" for i in range(1, 5)) + " FROM embeddings) " + " UNION ALL ".join(f"""SELECT label, 'x{i}' AS "column", round(count(*) / (SELECT count(*) FROM v), 6) AS prior, round(avg(x{i}), 6) + 0.0 AS mean, round(var_pop(x{i}), 6) AS variance FROM v GROUP BY label""" for i in range(1, 5)))
+LONG = f"SELECT vec_id, CAST(label < 5 AS INTEGER) AS label, unnest(embedding)::DOUBLE AS x, unnest(range(1, {WIDTH + 1})) AS i FROM embeddings"
+
+
+@query(f"""SELECT label, 'x' || i AS "column", round(count(*) / (SELECT count(*) FROM embeddings), 6) AS prior, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) AS variance FROM ({LONG}) GROUP BY label, i""")
 def gaussian_nb_sql(t):
     out = models.gaussian_parameters(vectors_of(t), COLUMNS)
     return out.withColumns({"prior": F.round("prior", 6), "mean": F.round("mean", 6) + F.lit(0.0), "variance": F.round("variance", 6)})
 
 
-@query("SELECT * FROM (VALUES ('gbt', 64), ('nb', 2), ('rf', 32), ('svc', 8)) x(model, fits)")
+#: Values of each axis of the searches, one after the other, and folds.
+AXES = {"svc": "4 2 2", "rf": "2 2 2 2 2", "gbt": "2 2 2 2 2 2", "rf fine": "2 2 2 2 2 2 3", "gbt fine": "2 2 2 2 2 2 2 3 2 2 3"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS model, CAST(list_product([{', '.join(v.split())}]) AS INTEGER) AS fits" for k, v in AXES.items()))
 def grid_size(t):
-    rows = [(k, models.grid_size(g, 2)) for k, g in models.GRIDS.items()]
+    rows = [(k, models.grid_size(g, models.FOLDS[k])) for k, g in models.GRIDS.items()]
     return t._spark.createDataFrame(rows, "model string, fits int")
 
 
@@ -306,7 +316,19 @@ def _predicted(t, name):
     return models.fit_predict(train, test, models.classifiers()[name]).select("vec_id", "label", "prediction")
 
 
-@query()
+SPLIT = "('0x' || md5(vec_id || '|3')[1:8])::BIGINT % 100 < 70"
+
+
+@query(f"SELECT vec_id, label, CASE WHEN {SPLIT} THEN 'train' ELSE 'test' END AS part FROM embeddings")
+def random_split(t):
+    parts = models.random_split(t.embeddings.select("vec_id", "label"), "vec_id", 70, 3)
+    return parts[0].withColumn("part", F.lit("train")).unionByName(parts[1].withColumn("part", F.lit("test")))
+
+
+#: Balanced weights make the priors equal, so they cancel.
+@query(f"""WITH v AS ({LONG}), p AS (SELECT label AS c, i, avg(x) AS m, var_pop(x) AS s FROM v WHERE {SPLIT} GROUP BY ALL),
+f AS (SELECT vec_id, v.label, c, sum(-0.5 * ln(s) - (x - m) * (x - m) / (2 * s)) AS f FROM v JOIN p ON p.i = v.i WHERE NOT {SPLIT} GROUP BY ALL)
+SELECT vec_id, label, CAST(arg_max(c, f) AS DOUBLE) AS prediction FROM f GROUP BY ALL""")
 def nb_predict(t):
     return _predicted(t, "nb")
 
@@ -330,17 +352,101 @@ def svc_predict(t):
 
 @query()
 def lr_search(t):
-    model = models.elastic_net(vectors_of(t), COLUMNS, mixes=[0.0, 1.0], penalties=[0.01, 0.1], folds=2)
-    return model.transform(vectors_of(t)).select("vec_id", "label", "prediction")
+    """Both elastic-net searches over five folds, dealt once; the classes are balanced."""
+    v = models.with_weights(vectors_of(t))
+    model, _, _ = models.elastic_net_refined(v, COLUMNS, repeats=1)
+    return model.transform(models.assembled(v, COLUMNS)).select("vec_id", "label", "prediction")
+
+
+@query()
+def lr_coefficients(t):
+    train, _ = _split(t)
+    model = models.classifiers()["lr"].fit(train)
+    return models.coefficients(t._spark, model, COLUMNS)
+
+
+#: Trees of a forest and rounds of boosting in searches, against the grids: a whole one takes hours on one machine.
+TREES = 0.02
 
 
 @query()
 def rf_grid_search(t):
-    v = models.stratified_folds(models.assembled(vectors_of(t), COLUMNS), "label", "vec_id", 2)
-    model = models.grid_search(v, models.classifiers(weight=None)["rf"], {"maxDepth": [3, 5], "numTrees": [10]}, folds=2)
+    v = models.stratified_folds(models.assembled(vectors_of(t), COLUMNS), "label", "vec_id", models.FOLDS["rf"])
+    model = models.grid_search(v, models.classifiers(weight=None)["rf"], models.spark_points(models.GRIDS["rf"], TREES), folds=models.FOLDS["rf"])
     return model.transform(v).select("vec_id", "label", "prediction")
 
 
+@query()
+def search_refit_test(t):
+    """Search on the train part, refit, and the test part's predictions, through the files that results are kept in."""
+    v = models.assembled(vectors_of(t), COLUMNS).select("vec_id", "label", "features")
+    train, test = models.random_split(v, "vec_id", 70, 3)
+    points = {"nb": [], "rf": models.spark_points(models.GRIDS["rf"] | {"trees": [500]}, TREES)}
+    made, told = models.search_refit_predict(train, test, points, "vec_id")
+    path = scratch(t._spark, "results")
+    writers.write_results(made, told, path)
+    again, predictions, _ = writers.read_results(t._spark, path)
+    return predictions.select("model", "vec_id", "label", "prediction", "score")
+
+
+@query()
+def gbt_early_stop(t):
+    train, test = _split(t)
+    fit_on, watch = models.random_split(train, "vec_id", 80, 5)
+    model = models.boosted_with_stop(fit_on, watch, max_iter=30)
+    return model.transform(test).select("vec_id", "label", "prediction")
+
+
+@query()
+def gbt_importances(t):
+    train, _ = _split(t)
+    rows = models.importances(models.classifiers()["gbt"].fit(train), COLUMNS)
+    return t._spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query()
+def informative_features(t):
+    """Of all components and near copies of two of them."""
+    v = vectors_of(t).withColumns({"y1": F.col("x1") + F.col("x2") * 0.01, "y2": F.col("x3") * 2, "z": F.lit(1.0)})
+    return t._spark.createDataFrame([(c,) for c in models.informative(v, [*COLUMNS, "y1", "y2", "z"])], "feature string")
+
+
+def scored_rules(t):
+    """model (a threshold), feature_set (a language), precision, recall, f1."""
+    j = judged(t).select("lang", "label", "score", F.explode(F.array(*[F.lit(x) for x in (0.14, 0.15, 0.16)])).alias("at"))
+    j = j.select(F.concat(F.lit("at "), F.format_number("at", 2)).alias("model"), F.col("lang").alias("feature_set"), "label", (F.col("score") > F.col("at")).cast("int").alias("prediction"))
+    return evaluate.scores(j, ["model", "feature_set"])
+
+
+RULES = f"WITH {JUDGED}, r AS (SELECT 'at ' || a AS model, lang AS feature_set, label, CAST(score > a::DOUBLE AS INTEGER) AS prediction FROM j, (VALUES ('0.14'), ('0.15'), ('0.16')) x(a)), c AS (SELECT model, feature_set, {{counts}} FROM r GROUP BY ALL), s AS (SELECT model, feature_set, {{scores}} FROM c)"
+MEANS = " UNION ALL ".join(f"SELECT {{by}}, '{m}' AS metric, round(avg({m}), 6) AS score FROM s GROUP BY 1" for m in ("precision", "recall", "f1"))
+
+
+def means_sql(by):
+    scores = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"
+    counts = "count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label <> 1 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction <> 1) AS fn"
+    return RULES.format(counts=counts, scores=scores) + " " + MEANS.format(by=by)
+
+
+@query(means_sql("model"))
+def mean_scores_by_model(t):
+    return evaluate.mean_scores(scored_rules(t), "model").withColumn("score", F.round("score", 6))
+
+
+@query(means_sql("feature_set"))
+def mean_scores_by_feature_set(t):
+    return evaluate.mean_scores(scored_rules(t), "feature_set").withColumn("score", F.round("score", 6))
+
+
+DESCRIBED = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS "distinct", (SELECT CAST({c} AS VARCHAR) FROM orders GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top,
+(SELECT count(*) FROM orders GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS freq, min(CAST({c} AS VARCHAR)) AS low, max(CAST({c} AS VARCHAR)) AS high FROM orders""" for c in DESCRIBED))
+def describe_all(t):
+    return stats.described(t.orders, DESCRIBED)
+
+
 @query()
 def rf_importances(t):
     train, _ = _split(t)
@@ -355,10 +461,10 @@ def vif(t):
 
 @query()
 def glm_stepwise(t):
-    left, bic = models.stepwise_glm(vectors_of(t), COLUMNS[:3])
+    left, bic = models.stepwise_glm(vectors_of(t), COLUMNS)
     return t._spark.createDataFrame([(c, bic) for c in left], "feature string, bic double")
 
 
 @query("SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 1")
 def running_number(t):
-    return t.embeddings.filter("label = 1").select("vec_id", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long").alias("n"))
+    return relational.numbered(t.embeddings.filter("label = 1").select("vec_id", "label"), ["label"], "vec_id").select("vec_id", "n")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -26,6 +27,28 @@ def save_models(models: dict, path: str) -> None:
         model.write().overwrite().save(f"{path}/{name}")
 
 
+def load_models(spark: SparkSession, path: str, names: list[str]) -> dict:
+    """Models that save_models wrote, by name."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return {n: DefaultParamsReader.loadParamsInstance(f"{path}/{n}", spark.sparkContext) for n in names}
+
+
+def write_results(models: dict, predictions: DataFrame, path: str) -> None:
+    """Models, predictions (model, key, label, prediction, score) and each model's confusion matrix, below one folder."""
+    save_models(models, f"{path}/models")
+    write_table(predictions, f"{path}/predictions", ["model"])
+    counts = predictions.filter("label IS NOT NULL").groupBy("model", "label").agg(F.count_if(F.col("prediction") == 0).alias("predicted_0"), F.count_if(F.col("prediction") == 1).alias("predicted_1"))
+    write_table(counts, f"{path}/confusion")
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
+    """What write_results wrote: models by name, predictions, confusion matrices."""
+    predictions, counts = spark.read.parquet(f"{path}/predictions"), spark.read.parquet(f"{path}/confusion")
+    names = [r["model"] for r in counts.select("model").distinct().collect()]
+    return load_models(spark, f"{path}/models", names), predictions, counts
+
+
 def results_path(features_path: str, folder: str = "results", suffix: str = "-results") -> str:
     """Where the results of a feature table go: beside it, named after it."""
     head, name = posixpath.split(features_path.rstrip("/"))

@@ -93,6 +93,95 @@ def test_svd_takes_every_term_and_document(spark):
     assert ratios[:5] == pytest.approx(((u[:, :5] * s[:5]).var(0) / m.var(0).sum()).tolist())
 
 
+@pytest.mark.parametrize("ranked", [stats.RANKED, 3])
+def test_quantiles_are_exact(spark, ranked):
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 1e6), 7.0, -1e-9 * rng.random(), None])) for _ in range(400)] + [("c", None), ("d", 5.0), ("e", float("nan"))]
+    df = spark.createDataFrame(data, "g string, x double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["q"] for r in stats.quantiles(df, "x", ["g"], shares, ranked).collect()}
+    assert set(got) == {"a", "b", None, "c", "d", "e"} and got["c"] == got["e"] == [None] * 5 and got["d"] == [5.0] * 5
+    for g in ("a", "b", None):
+        xs = [x for h, x in data if h == g and x is not None]
+        assert got[g] == pytest.approx(np.quantile(xs, shares).tolist(), rel=1e-12, abs=1e-15)
+    assert stats.quantiles(df, "x", [], [0.5]).count() == 1
+    assert stats.quantiles(df.limit(0), "x", ["g"], [0.5]).count() == 0
+    five = {r["g"]: r["median"] for r in stats.five_numbers(df, "x", ["g"]).collect()}
+    assert five["d"] == 5.0 and five["c"] is None and len(five) == 6
+
+
+def test_description_of_all_columns(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, "a", None), (2, "b", None), (3, "a", None)], "i int, s string, n string")
+    got = {r["column"]: tuple(r)[1:] for r in stats.described(df, ["i", "s", "n"]).collect()}
+    assert got == {"i": (4, 3, "2", 2, "1", "3"), "s": (4, 2, "a", 2, "a", "b"), "n": (0, 0, None, None, None, None)}
+
+
+def test_numbers_marks_and_joins_without_a_hot_task(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["x", "x", "x", "y", None]), rng.randrange(50), i) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, v int, i int")
+    got = {r["i"]: r["n"] for r in relational.numbered(df, ["g"], "v", ["i"], buckets=7).collect()}
+    for g in ("x", "y", None):
+        assert [got[i] for _, _, i in sorted((t for t in data if t[0] == g), key=lambda t: t[1:])] == list(range(1, sum(t[0] == g for t in data) + 1))
+    assert relational.numbered(df.limit(0), ["g"], "v").count() == 0
+    for few in (0, 100):
+        marked = relational.mark_duplicates(df, ["g", "v"], broadcast_rows=few).collect()
+        assert all(r["is_duplicate"] == (sum(t[:2] == (r["g"], r["v"]) for t in data) > 1) for r in marked) and len(marked) == 200
+    a, b = spark.createDataFrame([(1, None), (1, None), (2, None)], "k int, e string"), spark.createDataFrame([(1, "p"), (3, "q")], "k int, w string")
+    assert [tuple(r) for r in relational.join_complete(a, b, "k").collect()] == [(1, "p")]
+    assert relational.digest(["a"], 3) is not None
+    assert [r["i"] for r in relational.keep_first(df.filter("g = 'y'"), ["g"], ["v", "i"]).collect()] == [min((t[1], t[2]) for t in data if t[0] == "y")[1]]
+
+
+def test_refined_grids_and_points():
+    assert models.finer(3.0) == [1.0, 2.0, 3.0, 6.0, 9.0]
+    assert {k: models.grid_size(g, models.FOLDS[k]) for k, g in models.GRIDS.items()} == {"svc": 16, "rf": 32, "gbt": 64, "rf fine": 192, "gbt fine": 4608}
+    assert len(models.spark_points(models.GRIDS["rf"])) == 16 and len(models.spark_points(models.GRIDS["gbt"])) == 32
+    # leaves, warm starts and splits below two leaves are one to Spark
+    assert len(models.spark_points(models.GRIDS["gbt fine"])) == 2 * 2 * 2 * 2 * 3 * 3 * 2
+    assert models.spark_params({"depth": None, "features": None, "split": 4, "trees": 500}, 0.1) == {"maxDepth": 30, "featureSubsetStrategy": "all", "minInstancesPerNode": 2, "numTrees": 50}
+
+
+def test_columns_that_tell_nothing_go(spark):
+    rng = random.Random(5)
+    rows = [(x := rng.gauss(0, 1), x * 2 + rng.gauss(0, 0.01), y := rng.gauss(0, 1), x + y, 1.0, 0.0 if i else 1.0, 0.0 if i < 290 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, one double, nearly double, many double")
+    assert models.near_zero_variance(df, df.columns) == ["one", "nearly", "many"]
+    left = models.informative(df, df.columns)
+    assert len({"a", "b"} & set(left)) == 1 and {"c"} <= set(left) and not {"one", "nearly"} & set(left)
+
+
+def test_stepwise_equals_single_fits(spark):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rng = random.Random(6)
+    data = []
+    for _ in range(300):
+        x = [rng.gauss(0, 1) for _ in range(4)]
+        data.append((*x, int(x[0] - 0.8 * x[2] + rng.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, label int")
+    left, value = models.stepwise_glm(df, ["a", "b", "c", "d"])
+    one = lambda cols: GeneralizedLinearRegression(family="binomial", labelCol="label").fit(models.assembled(df, list(cols))).summary.deviance + math.log(300) * (len(cols) + 1)
+    best = ["a", "b", "c", "d"]
+    while len(best) > 1 and min(one([c for c in best if c != x]) for x in best) < one(best):
+        best.remove(min(best, key=lambda x: one([c for c in best if c != x])))
+    assert left == best and value == pytest.approx(one(best), rel=1e-6)
+
+
+def test_searches(spark):
+    rng = random.Random(7)
+    data = [(i, i % 2, rng.gauss(i % 2 * 3, 1), rng.gauss(0, 1)) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id long, label int, a double, b double")
+    model, mix, penalty = models.elastic_net(df, ["a", "b"], mixes=[0.0, 1.0, 10.0], penalties=[0.01, 1.0], folds=2, repeats=2)
+    assert mix in (0.0, 1.0) and penalty in (0.01, 1.0)
+    assert evaluate.scores(model.transform(models.assembled(df, ["a", "b"]))).first()["f1"] > 0.85
+    told = {r["feature"]: r for r in models.coefficients(spark, model, ["a", "b"]).collect()}
+    assert set(told) == {"a", "b"} and told["a"]["importance"] == abs(told["a"]["coefficient"]) > told["b"]["importance"]
+    dealt = models.stratified_folds(models.with_weights(df), "label", "vec_id", 2)
+    gamma, found = models.kernel_search(dealt, ["a", "b"], {"C": [1.0, 10.0], "gamma": [0.1, 1.0]}, components=16)
+    assert gamma in (0.1, 1.0) and len(found.avgMetrics) == 2
+
+
 def brute(pairs):
     tp = sum(y == p == 1 for y, p in pairs)
     fp, fn = sum((y, p) == (0, 1) for y, p in pairs), sum((y, p) == (1, 0) for y, p in pairs)

@@ -55,6 +55,38 @@ def test_train_and_score(spark):
     assert set(made) == {"nb", "rf"} and all(r["f1"] == 1 for r in scores.collect())
 
 
+def test_pairs_stay_in_each_file_they_are_in(spark):
+    rows = [("a", "b", 1, "x_train", "train", "shoes"), ("a", "b", 1, "x_train", "train", "shoes"), ("a", "b", 1, "y_train", "train", "shoes"), ("a", "b", 1, "gs_x", "test", "shoes"), ("c", None, 0, "gs_x", "test", None)]
+    df = spark.createDataFrame(rows, schemas.PAIR)
+    got = sorted([tuple(r) for r in matching.clean_pairs(df.limit(3), df, bad=[("c", "d", 0)]).collect()], key=str)
+    assert got == sorted(set(rows), key=str)
+
+
+def test_every_key_of_an_offer_becomes_a_column(spark):
+    rows = [{"nodeID": "n", "url": "u", "cluster_id": "c", "identifiers": [{"/gtin8": "[8]"}, {"/isbn": "[i]"}], "schema.org_properties": [{"/color": "[red]"}, {"/offers": {"/sku": "[s]", "deep": {"er": "1"}}}, {"/sku": "[other]"}],
+             "parent_schema.org_properties": [{"/color": "[blue]"}, {"/material": "[wood]"}], "parent_NodeID": None, "availability": None}]
+    raw = spark.read.schema(schemas.OFFER_RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    one = matching.flat_offers(raw, spark.createDataFrame([("n u",)], "offer_id string")).first().asDict()
+    assert (one["gtin"], one["isbn"], one["color"], one["offers_sku"], one["offers_deep_er"], one["sku"]) == ("8", "i", "red", "s", "1", "other")
+    assert one.get("parent_material", one.get("material")) == "wood"
+
+
+def test_search_refit_and_results_in_files(spark, tmp_path):
+    rows = [("train" if i % 3 else "test", i, i % 2, float(i % 2) + i / 1000) for i in range(90)]
+    df = spark.createDataFrame(rows, "dataset string, id long, label int, x double")
+    points = {"nb": [], "rf": [{"numTrees": 3, "maxDepth": 2}, {"numTrees": 5, "maxDepth": 3}]}
+    made, scores = matching.train_and_score(df, ["x"], points=points, key="id")
+    assert set(made) == {"nb", "rf"} and {r["model"]: r["f1"] for r in scores.collect()} == {"nb": 1.0, "rf": 1.0}
+    v = matching.models.assembled(df, ["x"])
+    made, told = matching.models.search_refit_predict(v.filter("dataset = 'train'"), v.filter("dataset = 'test'"), points, "id")
+    writers.write_results(made, told, str(tmp_path / "r"))
+    again, predictions, counts = readers.exists(spark, str(tmp_path / "r")) and writers.read_results(spark, str(tmp_path / "r"))
+    key = lambda d: sorted((r["model"], r["id"], r["prediction"], round(r["score"], 9)) for r in d.collect())
+    assert key(predictions) == key(told) and counts.count() == 4
+    test = v.filter("dataset = 'test'")
+    assert {n: sorted(r["prediction"] for r in m.transform(test).collect()) for n, m in again.items()} == {n: sorted(r["prediction"] for r in m.transform(test).collect()) for n, m in made.items()}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
     p = str(tmp_path / "t")
