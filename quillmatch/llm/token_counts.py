@@ -53,12 +53,12 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
     return written(slim.mapInArrow(run, "file string, ordinal long, doc_id long"), "token-manifest")
 
 
-def scan_block(ids: np.ndarray, end: int = END) -> tuple[int, list[int], int]:
+def scan_block(ids: np.ndarray, end: int = END) -> tuple[int, np.ndarray, int]:
     """Number of separators; for each the tokens since the one before it or the block's start; tokens after the last."""
     at = np.flatnonzero(ids == end)
     if not len(at):
-        return 0, [], len(ids)
-    return len(at), (np.diff(at, prepend=-1) - 1).tolist(), int(len(ids) - 1 - at[-1])
+        return 0, at, len(ids)
+    return len(at), np.diff(at, prepend=-1) - 1, int(len(ids) - 1 - at[-1])
 
 
 def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
@@ -81,16 +81,14 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
         import pyarrow as pa
 
         fs, path = store.resolve(folder)
-        schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seps", pa.int64()), ("lengths", pa.list_(pa.int64())), ("tail", pa.int64())])
-
-        def rows():
-            for batch in batches:
-                for r in batch.to_pylist():
-                    with fs.open_input_file(f"{path}/{r['file']}") as f:
-                        raw = f.read_at(min(block, r["size"] - r["block"] * block), r["block"] * block)
-                    yield (r["file"], r["block"], *scan_block(np.frombuffer(raw, f"<u{width}"), end))
-
-        yield from as_batches(rows(), schema, 16)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with fs.open_input_file(f"{path}/{r['file']}") as f:
+                    raw = f.read_at(min(block, r["size"] - r["block"] * block), r["block"] * block)
+                seps, lengths, tail = scan_block(np.frombuffer(raw, f"<u{width}"), end)
+                held = pa.ListArray.from_arrays(pa.array([0, seps], pa.int32()), pa.array(lengths, pa.int64()))
+                cols = [pa.array([r["file"]]), pa.array([r["block"]], pa.int64()), pa.array([seps], pa.int64()), held, pa.array([tail], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "block", "seps", "lengths", "tail"])
 
     scanned = written(dealt.mapInArrow(run, "file string, block long, seps long, lengths array<long>, tail long"), "token-blocks")
     by_block = W.partitionBy("file").orderBy("block")
@@ -114,7 +112,11 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
 
 
 def count_document_tokens(documents: DataFrame, folder: str, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, file, ordinal: documents written as flat token files, counted from the files alone."""
+    """doc_id, n_tokens, file, ordinal: documents written as flat token files, counted from the files alone.
+
+    Every row is a document: repeated ones are counted each, null ids stay null; null and empty texts have 0 tokens. An
+    empty table has no rows. Other columns are not read.
+    """
     manifest = write_token_files(documents, folder, path)
     counts = count_tokens(documents.sparkSession, folder)
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")

@@ -77,8 +77,8 @@ def test_pack_documents(spark, tokenizer):
 
 
 def test_separator_scan_blocks():
-    assert token_counts.scan_block(np.array([5, 9, 9, 7, 7], np.uint16), 9) == (2, [1, 0], 2)
-    assert token_counts.scan_block(np.array([5, 5], np.uint16), 9) == (0, [], 2)
+    two, none = token_counts.scan_block(np.array([5, 9, 9, 7, 7], np.uint16), 9), token_counts.scan_block(np.array([5, 5], np.uint16), 9)
+    assert (two[0], two[1].tolist(), two[2], none[0], none[1].tolist(), none[2]) == (2, [1, 0], 2, 0, [], 2)
 
 
 @pytest.mark.parametrize("block", [2, 6, 10, 1 << 20])
