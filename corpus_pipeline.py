@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_text", benchmark_text), ("pack", pack)]
 
-#: No stage but the third can be said in SQL; tests hold the others against brute force.
+#: The second and third stage could be said in SQL, the first and last cannot; tests hold each against brute force.
 ORACLE_SQL = None
 
 

@@ -35,12 +35,13 @@ def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> D
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, buckets: int = 256, name: str = "fold") -> DataFrame:
-    """df with fold 0 .. k - 1: rows of a label are dealt in the order of a hash of the key, in turn.
+    """df with fold 0 .. k - 1: rows of a label are dealt in the order of a digest of the key, in turn.
 
     Ranks are counted within buckets of the hash and offset by the buckets before, so a frequent label is no one
     task's work; folds of a label differ by one row at most.
     """
-    rows = df.withColumns({"__h": F.xxhash64(key), "__b": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
+    h = F.md5(F.col(key).cast("string").cast("binary"))
+    rows = df.withColumn("__h", h).withColumn("__b", (F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") % buckets).cast("int"))
     counts = rows.groupBy(label, "__b").agg(F.count("*").alias("__n"))
     before = W.partitionBy(label).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col(label).alias("__l"), F.col("__b").alias("__bb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -150,7 +151,11 @@ def grid_search(train: DataFrame, estimator, points: list[dict], fold: str = "fo
     """The cross-validated model, refitted on all of train with the best point. fold: a column of whole numbers."""
     maps = [{getattr(estimator, k): v for k, v in p.items()} for p in points]
     judge = MulticlassClassificationEvaluator(metricName=metric)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+    held = train.persist()  # else folds are dealt anew for every fold and point
+    try:
+        return CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism).fit(held)
+    finally:
+        held.unpersist()
 
 
 def kernel_search(train: DataFrame, columns: list[str], grid: dict[str, list] = GRIDS["svc"], folds: int = 2, components: int = 128, weight: str | None = "weight"):

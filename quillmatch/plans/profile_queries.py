@@ -272,10 +272,9 @@ def class_weights(t):
     return models.class_weights(t.labels.select(F.col("quality").alias("label"))).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT quality, f.fold, (SELECT count(*) FROM labels x WHERE x.quality = l.quality) // 3 + CAST(f.fold < (SELECT count(*) FROM labels x WHERE x.quality = l.quality) % 3 AS INTEGER) AS n FROM (SELECT DISTINCT quality FROM labels) l, (SELECT unnest([0, 1, 2]) AS fold) f")
+@query("""SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY ('0x' || md5(CAST(doc_id AS VARCHAR))[1:4])::INTEGER % 256, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 3 AS INTEGER) AS fold FROM labels""")
 def stratified_folds(t):
-    out = models.stratified_folds(t.labels, "quality", "doc_id", 3)
-    return out.groupBy("quality", "fold").agg(F.count("*").alias("n"))
+    return models.stratified_folds(t.labels.select("doc_id", "quality"), "quality", "doc_id", 3)
 
 
 WIDTH = 64
@@ -454,9 +453,20 @@ def rf_importances(t):
     return t._spark.createDataFrame(rows, "feature string, importance double")
 
 
-@query()
+#: The correlation matrix beside the unit matrix, and Gauss-Jordan steps until it is the unit matrix.
+@query(f"""WITH RECURSIVE v AS ({LONG}), r AS (
+  SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM v a JOIN v b ON b.vec_id = a.vec_id GROUP BY ALL
+), rows AS (SELECT i, list_concat(list(r ORDER BY j), list_transform(range(1, {WIDTH + 1}), lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS row FROM r GROUP BY i
+), g AS (
+  SELECT 0 AS k, (SELECT list(row ORDER BY i) FROM rows) AS m
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / m[k + 1][k + 1])
+    ELSE list_transform(list_zip(row, m[k + 1]), lambda p: p[1] - row[k + 1] * p[2] / m[k + 1][k + 1]) END) FROM g WHERE k < {WIDTH}
+)
+SELECT 'x' || i AS feature, round(m[i][{WIDTH} + i], 6) AS vif FROM (SELECT m, unnest(range(1, {WIDTH + 1})) AS i FROM g WHERE k = {WIDTH})""")
 def vif(t):
-    return t._spark.createDataFrame(sorted(models.inflation_factors(vectors_of(t), COLUMNS).items()), "feature string, vif double")
+    rows = sorted(models.inflation_factors(vectors_of(t), COLUMNS).items())
+    return t._spark.createDataFrame(rows, "feature string, vif double").withColumn("vif", F.round("vif", 6))
 
 
 @query()

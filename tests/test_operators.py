@@ -172,14 +172,14 @@ def test_searches(spark):
     rng = random.Random(7)
     data = [(i, i % 2, rng.gauss(i % 2 * 3, 1), rng.gauss(0, 1)) for i in range(120)]
     df = spark.createDataFrame(data, "vec_id long, label int, a double, b double")
-    model, mix, penalty = models.elastic_net(df, ["a", "b"], mixes=[0.0, 1.0, 10.0], penalties=[0.01, 1.0], folds=2, repeats=2)
-    assert mix in (0.0, 1.0) and penalty in (0.01, 1.0)
+    model, mix, penalty = models.elastic_net(df, ["a", "b"], mixes=[1.0, 10.0], penalties=[0.01, 1.0], folds=2, repeats=2)
+    assert mix == 1.0 and penalty in (0.01, 1.0)
     assert evaluate.scores(model.transform(models.assembled(df, ["a", "b"]))).first()["f1"] > 0.85
     told = {r["feature"]: r for r in models.coefficients(spark, model, ["a", "b"]).collect()}
     assert set(told) == {"a", "b"} and told["a"]["importance"] == abs(told["a"]["coefficient"]) > told["b"]["importance"]
     dealt = models.stratified_folds(models.with_weights(df), "label", "vec_id", 2)
-    gamma, found = models.kernel_search(dealt, ["a", "b"], {"C": [1.0, 10.0], "gamma": [0.1, 1.0]}, components=16)
-    assert gamma in (0.1, 1.0) and len(found.avgMetrics) == 2
+    gamma, found = models.kernel_search(dealt, ["a", "b"], {"C": [1.0], "gamma": [0.1, 1.0]}, components=8)
+    assert gamma in (0.1, 1.0) and len(found.avgMetrics) == 1
 
 
 def brute(pairs):

@@ -74,7 +74,7 @@ def test_every_key_of_an_offer_becomes_a_column(spark):
 def test_search_refit_and_results_in_files(spark, tmp_path):
     rows = [("train" if i % 3 else "test", i, i % 2, float(i % 2) + i / 1000) for i in range(90)]
     df = spark.createDataFrame(rows, "dataset string, id long, label int, x double")
-    points = {"nb": [], "rf": [{"numTrees": 3, "maxDepth": 2}, {"numTrees": 5, "maxDepth": 3}]}
+    points = {"nb": [], "rf": [{"numTrees": 3, "maxDepth": 2}]}
     made, scores = matching.train_and_score(df, ["x"], points=points, key="id")
     assert set(made) == {"nb", "rf"} and {r["model"]: r["f1"] for r in scores.collect()} == {"nb": 1.0, "rf": 1.0}
     v = matching.models.assembled(df, ["x"])
