@@ -112,3 +112,23 @@ def test_stream(spark, tmp_path):
         ingest.run_available(s, out, str(tmp_path / "cp"))
         assert spark.read.parquet(out).count() == expected
         spark.createDataFrame([(1, "c")], "k int, v string").write.mode("append").parquet(src)
+
+
+def test_scratch_lies_in_the_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quillmatch.sources import scratch
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    assert scratch.shared_dir(unset("local[8]")).startswith("file:///tmp/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(unset(master))
+    path = scratch.scratch(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and spark.sparkContext.applicationId in path
+    df = scratch.written(spark.range(3), "x")
+    assert df.count() == 3 and readers.exists(spark, df.written_to)
+    scratch.drop_table(df)
+    assert not readers.exists(spark, df.written_to)
