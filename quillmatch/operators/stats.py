@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -54,8 +55,16 @@ def five_numbers(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     return both.select(*groups, "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], "max")
 
 
+def small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table, without Python on the executors."""
+    fields = spark.createDataFrame([], schema).schema.fields
+    kinds = ", ".join(f"c{i}: {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    text = json.dumps([{f"c{i}": v for i, v in enumerate(r)} for r in rows], default=str)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>"))).toDF(*[f.name for f in fields])
+
+
 #: Groups whose quantiles are sought at once; bins of all of them in one pass; rows of a range that are ranked as they are.
-GROUPS, BINS, RANKED = 10_000, 262_144, 100_000
+GROUPS, BINS, RANKED = 10_000, 16_384, 1_000_000
 
 
 def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float], ranked: int = RANKED) -> DataFrame:
@@ -79,7 +88,7 @@ def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float],
         """Rows of the ranges, each with the range's number."""
         ranges = sorted({(i, *ranks[i, r][:2]) for i, r in which})
         rows = [(*[found[i][g] for g in groups], k, lo, hi) for k, (i, lo, hi) in enumerate(ranges)]
-        table = spark.createDataFrame(rows, f"{kinds}{', ' if groups else ''}__k int, __low double, __high double")
+        table = small_table(spark, rows, f"{kinds}{', ' if groups else ''}__k int, __low double, __high double")
         on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] + [F.col("__v").between(F.col("__low"), F.col("__high"))]
         return {x: k for k, x in enumerate(ranges)}, base.join(F.broadcast(table), on)
 
@@ -102,7 +111,7 @@ def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float],
         number, rows = inside(some)
         each = rows.groupBy("__k", "__v").agg(F.count("*").alias("c"))
         upto = each.withColumn("upto", F.sum("c").over(W.partitionBy("__k").orderBy("__v")))
-        sought = spark.createDataFrame([(number[i, *ranks[i, r][:2]], i, r, r - ranks[i, r][2]) for i, r in some], "k int, i int, r long, own long")
+        sought = small_table(spark, [(number[i, *ranks[i, r][:2]], i, r, r - ranks[i, r][2]) for i, r in some], "k int, i int, r long, own long")
         hit = upto.join(F.broadcast(sought), (F.col("__k") == F.col("k")) & (F.col("own") < F.col("upto")) & (F.col("own") >= F.col("upto") - F.col("c")))
         for i, r, x in hit.select("i", "r", "__v").collect():
             ranks[i, r][:2] = x, x
@@ -115,7 +124,7 @@ def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float],
             qs.append(a + (b - a) * (p - int(p)))
         out.append((*[g[c] for c in groups], qs or [None] * len(shares)))
     own = ", ".join(f"`{g}` {dict(whole.dtypes)[g]}" for g in groups)
-    return spark.createDataFrame(out, f"{own}{', ' if groups else ''}q array<double>")
+    return small_table(spark, out, f"{own}{', ' if groups else ''}q array<double>")
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
