@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmatch.llm import chat, decontaminate, materialise, minhash, packing, resample, sharding, token_counts, topk, url_rules
+from quillmatch.llm import chat, codes, decontaminate, materialise, minhash, packing, release, resample, sharding, token_counts, topk, url_rules, vectorfit
 from quillmatch.llm.common import scratch, table
 
 
@@ -62,12 +62,24 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_document_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"))
 
 
+def op11_release(spark, sf_dir):
+    return release.replay(table(spark, sf_dir, "conversations")).drop("place")
+
+
+def op12_vector_fit(spark, sf_dir):
+    return vectorfit.pack_documents(table(spark, sf_dir, "documents"), vectorfit.Room(tokens=2048), end_id=0)
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_jump_shards": OP9_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_topk": OP5_SQL, "op6_preferences": OP6_SQL, "op8_url_rules": OP8_SQL, "op9_jump_shards": OP9_SQL, "op11_release": OP11_SQL, "op13_vector_codes": OP13_SQL}
 
 
 #: Every window of every item against every position of every document.
@@ -199,3 +211,58 @@ SELECT c.doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(CAST(c.doc_id AS VARCHAR))[1:4])::INTEGER % 1024, c.doc_id, crc, size) - 1 AS slot
 FROM c JOIN s ON s.doc_id = c.doc_id
 """
+
+#: The digests a character at a time; all conversations step by step, each with the deliveries of its last four turns.
+OP11_SQL = r"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), k AS (SELECT conv_id, turn, unnest(range(0, 9)) AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+), h AS (
+  SELECT conv_id, turn, k, CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(k || ':' || conv_id || ':' || turn)), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS BIGINT) AS h FROM k, tb
+), d AS (
+  SELECT conv_id, turn, list(h ORDER BY k) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM h GROUP BY conv_id, turn
+), x AS (
+  SELECT conv_id, turn, p, 7 * p AS arrival, CASE WHEN h[1] % 5 <= p THEN h[1] % 5 ELSE 0 END AS back,
+    CASE WHEN h[2] % 101 < 50 THEN h[3] % 101 END AS repair, list_transform(range(1, 7), lambda a: h[a + 3] % 3 = 0) AS unlucky FROM d
+), r AS (
+  SELECT -1::BIGINT AS p, conv_id, NULL::BIGINT AS turn, []::BIGINT[] AS ends, NULL::VARCHAR AS status, NULL::BIGINT AS attempts, NULL::BIGINT AS first_at, NULL::BIGINT AS last_at FROM (SELECT DISTINCT conv_id FROM x)
+  UNION ALL
+  SELECT p, conv_id, turn, list_append(ends, CASE WHEN status = 'delivered' THEN last_at END), status, attempts, first_at, last_at FROM (
+    SELECT p, conv_id, turn, ends, CASE WHEN blocked THEN 'blocked' WHEN won IS NULL THEN 'dead' ELSE 'delivered' END AS status, CASE WHEN blocked THEN 0 ELSE coalesce(won, 6) END AS attempts,
+      CASE WHEN NOT blocked THEN start END AS first_at, CASE WHEN NOT blocked THEN start + 10 * ((1::BIGINT << (coalesce(won, 6) - 1)) - 1) END AS last_at
+    FROM (
+      SELECT *, list_min(list_filter(range(1, 7), lambda a: repair IS NULL OR NOT (start + 10 * ((1::BIGINT << (a - 1)) - 1) < arrival + repair OR unlucky[a]))) AS won FROM (
+        SELECT x.p, x.conv_id, x.turn, r.ends, arrival, repair, unlucky, back > 0 AND r.ends[len(r.ends) - back + 1] IS NULL AS blocked, CASE WHEN back = 0 THEN arrival ELSE greatest(arrival, r.ends[len(r.ends) - back + 1]) END AS start
+        FROM r JOIN x ON x.conv_id = r.conv_id AND x.p = r.p + 1)))
+), c AS (
+  SELECT conv_id, turn, min(CAST(xor(coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295), 4294967295) AS BIGINT)) AS crc FROM conversations, tb GROUP BY ALL
+), n AS (SELECT r.*, crc, CASE WHEN status = 'delivered' THEN row_number() OVER (PARTITION BY r.conv_id, status = 'delivered' ORDER BY last_at, r.turn) END AS release_no FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.turn)
+SELECT conv_id, turn, status, CAST(attempts AS INTEGER) AS attempts, first_at, last_at, release_no,
+  CASE WHEN release_no IS NOT NULL THEN CAST(sum(release_no * crc) OVER (PARTITION BY conv_id, release_no IS NULL ORDER BY release_no) AS BIGINT) END AS state
+FROM n
+UNION ALL SELECT DISTINCT conv_id, turn, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations WHERE conv_id IS NULL OR turn IS NULL
+"""
+
+_ROUND = """
+a{i} AS (SELECT vec_id, p, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS a FROM v JOIN b{i} USING (p) GROUP BY ALL"""
+_MEAN = """
+), m{i} AS (SELECT p, e, list(s ORDER BY k) AS y FROM (SELECT p, e, k, CAST(floor(sum(x[k]) / count(*)) AS BIGINT) AS s FROM (SELECT p, a.e AS e, x, unnest(range(1, len(x) + 1)) AS k FROM a{i}) GROUP BY ALL) GROUP BY ALL
+), b{j} AS (SELECT p, e, coalesce(m{i}.y, b{i}.y) AS y FROM b{i} LEFT JOIN m{i} USING (p, e)
+),"""
+
+#: Every part against every entry, four rounds written out.
+OP13_SQL = (
+    """
+WITH f AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (SELECT vec_id, p, w[p * len(w) // 4 + 1 : (p + 1) * len(w) // 4] AS x FROM f, range(4) r(p)
+), b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM v WHERE vec_id IN (SELECT vec_id FROM f ORDER BY vec_id LIMIT 256)
+),"""
+    + "".join(_ROUND.format(i=i) + _MEAN.format(i=i, j=i + 1) for i in range(4))
+    + _ROUND.format(i=4)
+    + """
+), c AS (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY p) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM a4 GROUP BY ALL
+), g AS (SELECT sha256(string_agg(z, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(y, ',') AS z FROM b4))
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN f USING (vec_id), g
+"""
+)
