@@ -1,11 +1,13 @@
-"""Flattening of columns that hold an array of small JSON objects, without explode or shuffle."""
+"""Flattening of columns that hold an array of JSON objects, within their rows: no explode, no shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.functions.planning import pinned
 from quillmatch.functions.text import null_word, strip
+from quillmatch.sources.scratch import written
 
 MAPS = "array<map<string,string>>"
 
@@ -20,36 +22,89 @@ def clean_keys(c: Column) -> Column:
     return F.transform(c, lambda m: F.transform_keys(m, lambda k, _: F.replace(F.regexp_replace(k, "^/+|/+$", ""), F.lit("."), F.lit("_"))))
 
 
+def bare(value: Column) -> Column:
+    """A value without one bracket at each end, trimmed; the word null is null."""
+    return null_word(strip(F.regexp_replace(value, r"^\[|\]$", "")))
+
+
 def value_of(c: Column, key: str) -> Column:
     """The greatest non-null value of a key, without one bracket at each end, trimmed; the word null is null.
 
     Keys are matched without slashes at their ends.
     """
     own = F.flatten(F.transform(c, lambda m: F.transform(F.filter(F.map_entries(m), lambda e: F.regexp_replace(e["key"], "^/+|/+$", "") == key), lambda e: e["value"])))
-    best = F.array_max(F.filter(own, lambda v: v.isNotNull()))
-    return null_word(strip(F.regexp_replace(best, r"^\[|\]$", "")))
+    return bare(F.array_max(F.filter(own, lambda v: v.isNotNull())))
+
+
+#: Levels of objects that are opened before it is looked whether there are more.
+LEVELS = 4
+
+_OBJECT, _OBJECTS = r"^\s*\{", r"^\s*\[\s*\{"
+
+
+def _path(*keys: Column) -> Column:
+    return F.concat_ws(".", *[F.regexp_replace(k, "^/+|/+$", "") for k in keys])
+
+
+def _entry(path: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), value.alias("value"))
+
+
+def _inner(e: Column) -> Column:
+    """The entries of an object's or an array of objects' text, below its path; null where the text is neither."""
+    below = lambda m: F.transform(F.map_entries(m), lambda x: _entry(_path(e["path"], x["key"]), x["value"]))
+    one = F.when(e["value"].rlike(_OBJECT), below(F.from_json(e["value"], "map<string,string>")))
+    return F.coalesce(one, F.when(e["value"].rlike(_OBJECTS), F.flatten(F.transform(F.from_json(e["value"], MAPS), below))))
+
+
+def shredded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column of arrays of maps as one map<string,string> of names and values, whatever depth the JSON has.
+
+    A value that is an object, or an array of objects, is opened; paths are keys without slashes at their ends, joined by
+    dots, and a name is a path with '_' for '.'. Of a path's values the greatest counts, without one bracket at each
+    end, trimmed; the word null is none. Of paths with the same name the first that has a value counts. There is no
+    limit of keys or levels: no key leaves its row. Null, broken and empty arrays: an empty map.
+    """
+    none = F.array().cast("array<struct<path:string,value:string>>")
+    q = {c: F.col(f"`{c}`") for c in columns}
+    out = df.withColumns({c: F.coalesce(F.flatten(F.transform(q[c], lambda m: F.transform(F.map_entries(m), lambda x: _entry(_path(x["key"]), x["value"])))), none) for c in columns})
+    while True:
+        for _ in range(LEVELS):
+            out = out.withColumns({c: F.flatten(F.transform(q[c], lambda e: F.coalesce(_inner(e), F.array(e)))) for c in columns})
+        more = F.array(*[F.exists(q[c], lambda e: _inner(e).isNotNull()) for c in columns])
+        if out.filter(F.array_contains(more, True)).isEmpty():
+            break
+        out = written(out, "json")
+    for step in (_greatest, _first):
+        out = out.withColumns({c: pinned(step(q[c])) for c in columns}).withColumns({c: F.filter(q[c], _last(q[c]) if step is _greatest else _new(q[c])) for c in columns})
+    return out.withColumns({c: F.map_from_entries(F.transform(q[c], lambda e: F.struct(e["name"], e["value"]))) for c in columns})
+
+
+def _greatest(c: Column) -> Column:
+    """Entries with a value, by path and value."""
+    return F.sort_array(F.filter(c, lambda e: e["value"].isNotNull()))
+
+
+def _last(c: Column):
+    """Whether an entry is the last of its path."""
+    return lambda e, i: F.coalesce(F.get(c, i + 1)["path"] != e["path"], F.lit(True))
 
 
-#: Keys that become columns, at most.
-MAX_KEYS = 5_000
+def _first(c: Column) -> Column:
+    """Names, paths and clean values that are left, in this order."""
+    clean = F.transform(c, lambda e: F.struct(F.replace(e["path"], F.lit("."), F.lit("_")).alias("name"), e["path"].alias("path"), bare(e["value"]).alias("value")))
+    return F.sort_array(F.filter(clean, lambda e: e["value"].isNotNull()))
 
 
-def dotted(c: Column, levels: int = 2) -> Column:
-    """The same array with objects within objects as keys joined by dots, to so many levels; each entry a map of its own."""
-    of = F.flatten(F.transform(c, F.map_entries))
-    for _ in range(levels):
-        inner = lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat_ws(".", F.regexp_replace(e["key"], "^/+|/+$", ""), F.regexp_replace(x["key"], "^/+|/+$", "")).alias("key"), x["value"].alias("value")))
-        of = F.flatten(F.transform(of, lambda e: F.coalesce(F.when(e["value"].rlike(r"^\s*\{"), inner(e)), F.array(e))))
-    return F.transform(of, lambda e: F.create_map(e["key"], e["value"]))
+def _new(c: Column):
+    """Whether an entry is the first of its name."""
+    return lambda e, i: (i == 0) | F.coalesce(F.get(c, i - 1)["name"] != e["name"], F.lit(True))
 
 
-def keys_of(df: DataFrame, columns: list[str], most: int = MAX_KEYS) -> dict[str, list[str]]:
-    """The keys in each array column, without slashes at their ends, by name: one pass, and only keys reach the driver."""
-    each = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.flatten(F.transform(F.col(f"`{c}`"), F.map_keys)), F.array().cast("array<string>")).alias("ks")) for c in columns])
-    found = df.select(F.explode(each).alias("e")).select("e.c", F.explode("e.ks").alias("k")).select("c", F.regexp_replace("k", "^/+|/+$", "").alias("k")).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"over {most} keys")
-    return {c: sorted(r["k"] for r in found if r["c"] == c) for c in columns}
+def key_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, name, n: in how many rows each name of a shredded column has a value."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.map_keys(F.col(f"`{c}`")).alias("names")) for c in columns])
+    return df.select(F.inline(each)).select("column", F.explode("names").alias("name")).groupBy("column", "name").agg(F.count("*").alias("n"))
 
 
 def flatten(df: DataFrame, column: str, keys: list[str], prefix: str = "") -> DataFrame:
@@ -83,4 +138,4 @@ def fill_from_parents(df: DataFrame, mark: str = "parent_") -> DataFrame:
     return df.withColumns(filled).drop(*{p for ps in of.values() for p in ps}) if filled else df
 
 
-__all__ = ["clean_keys", "coalesce_gtin", "dotted", "fill_from_parents", "flatten", "keys_of", "maps", "value_of"]
+__all__ = ["clean_keys", "coalesce_gtin", "fill_from_parents", "flatten", "key_counts", "maps", "shredded", "value_of"]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmatch.sources.scratch import written
+
 
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     """Non-null values by how often they occur, most often first; ties by value."""
@@ -51,80 +52,93 @@ def five_numbers(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     out = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(df, value, groups, [0.25, 0.5, 0.75])
     on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
-    both = out.join(F.broadcast(q.withColumnsRenamed({g: f"__{g}" for g in groups})), on, "left") if groups else out.crossJoin(F.broadcast(q))
+    both = out.join(q.withColumnsRenamed({g: f"__{g}" for g in groups}), on, "left") if groups else out.crossJoin(F.broadcast(q))
     return both.select(*groups, "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], "max")
 
 
-def small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A few rows as a table, without Python on the executors."""
-    fields = spark.createDataFrame([], schema).schema.fields
-    kinds = ", ".join(f"c{i}: {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    text = json.dumps([{f"c{i}": v for i, v in enumerate(r)} for r in rows], default=str)
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>"))).toDF(*[f.name for f in fields])
+#: Rows of a range that are ranked as they are; ranges that are broadcast, and the copies of others that rows are dealt to.
+RANKED, BROADCAST_RANGES, COPIES = 1_000_000, 100_000, 16
+
 
+def order_bits(x: Column) -> Column:
+    """A whole number for each double but NaN, in their order: equal ones alike, -0.0 as 0.0, infinities outermost.
 
-#: Groups whose quantiles are sought at once; bins of all of them in one pass; rows of a range that are ranked as they are.
-GROUPS, BINS, RANKED = 10_000, 16_384, 1_000_000
+    It is made of the exponent and the 52 digits of the mantissa, so that neighbouring doubles have neighbouring numbers.
+    """
+    a = F.abs(x)
+    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022))
+    m = a / F.pow(F.lit(2.0), guess.cast("double"))
+    exponent = guess + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
+    mantissa = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
+    normal = (exponent + 1023) * F.lit(1 << 52) + ((mantissa - 1) * F.lit(float(1 << 52))).cast("long")
+    tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    size = F.when(a < 2.0**-1022, tiny).when(a == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return F.when(x < 0, -size).otherwise(size)
 
 
 def quantiles(df: DataFrame, value: str, groups: list[str], shares: list[float], ranked: int = RANKED) -> DataFrame:
-    """groups, q array<double>: exact interpolated quantiles of a number, of at most GROUPS groups (else ValueError).
+    """groups, q array<double>: exact interpolated quantiles of a number, by group.
 
-    The ranks sought are located by ever finer histograms, all at once: only counts of bins are shuffled, and rows
-    only of ranges that hold no more than `ranked` of them. Null and NaN values count as none; a group without values
-    has nulls. Null groups are groups.
+    Radix selection: each pass counts the rows of the ranges that hold a sought rank by twelve more of their bits, so six
+    passes fix any double; rows of ranges that hold no more than `ranked` of them are ranked as they are. What is known
+    of each rank is a table, so there may be any number of groups, and only counts are shuffled of large ranges.
+    Null and NaN values count as none; a group without values has nulls. Null groups are groups. Infinities are values:
+    a quantile between a number and an infinity is that infinity, one between opposite infinities NaN.
     """
-    spark, v = df.sparkSession, F.col(value).cast("double")
-    base = df.select(*groups, F.when(~F.isnan(v), v).alias("__v"))
-    whole = base.groupBy(*groups).agg(F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    found = whole.limit(GROUPS + 1).collect()
-    if len(found) > GROUPS:
-        raise ValueError(f"over {GROUPS} groups")
-    kinds = ", ".join(f"`__{g}` {dict(whole.dtypes)[g]}" for g in groups)
-    # (group, rank from 0) -> lowest and highest value that it may be, values below, values within
-    ranks = {(i, r): [g["__lo"], g["__hi"], 0, g["__n"]] for i, g in enumerate(found) if g["__n"] for s in shares for r in {int((g["__n"] - 1) * s), -int(-(g["__n"] - 1) * s // 1)}}
-
-    def inside(which):
-        """Rows of the ranges, each with the range's number."""
-        ranges = sorted({(i, *ranks[i, r][:2]) for i, r in which})
-        rows = [(*[found[i][g] for g in groups], k, lo, hi) for k, (i, lo, hi) in enumerate(ranges)]
-        table = small_table(spark, rows, f"{kinds}{', ' if groups else ''}__k int, __low double, __high double")
-        on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] + [F.col("__v").between(F.col("__low"), F.col("__high"))]
-        return {x: k for k, x in enumerate(ranges)}, base.join(F.broadcast(table), on)
-
-    while wide := [x for x, (lo, hi, _, n) in ranks.items() if lo < hi and n > ranked]:
-        number, rows = inside(wide)
-        bins = max(2, BINS // len(number))
-        width = (F.col("__high") - F.col("__low")) / bins
-        at = F.least(F.floor((F.col("__v") - F.col("__low")) / F.when(width > 0, width).otherwise(1.0)), F.lit(bins - 1)).alias("at")
-        counts: dict[int, list] = {}
-        for k, _, n, lo, hi in rows.groupBy("__k", at).agg(F.count("*"), F.min("__v").alias("lo"), F.max("__v")).orderBy("__k", "lo").collect():
-            counts.setdefault(k, []).append((n, lo, hi))
-        for i, r in wide:
-            lo, hi, below, _ = ranks[i, r]
-            for n, a, b in counts[number[i, lo, hi]]:
-                if r < below + n:
-                    ranks[i, r] = [a, b, below, n]
-                    break
-                below += n
-    if some := [x for x, (lo, hi, _, _) in ranks.items() if lo < hi]:
-        number, rows = inside(some)
-        each = rows.groupBy("__k", "__v").agg(F.count("*").alias("c"))
-        upto = each.withColumn("upto", F.sum("c").over(W.partitionBy("__k").orderBy("__v")))
-        sought = small_table(spark, [(number[i, *ranks[i, r][:2]], i, r, r - ranks[i, r][2]) for i, r in some], "k int, i int, r long, own long")
-        hit = upto.join(F.broadcast(sought), (F.col("__k") == F.col("k")) & (F.col("own") < F.col("upto")) & (F.col("own") >= F.col("upto") - F.col("c")))
-        for i, r, x in hit.select("i", "r", "__v").collect():
-            ranks[i, r][:2] = x, x
-    out = []
-    for i, g in enumerate(found):
-        qs = []
-        for s in shares if g["__n"] else []:
-            p = (g["__n"] - 1) * s
-            a, b = ranks[i, int(p)][0], ranks[i, -int(-p // 1)][0]
-            qs.append(a + (b - a) * (p - int(p)))
-        out.append((*[g[c] for c in groups], qs or [None] * len(shares)))
-    own = ", ".join(f"`{g}` {dict(whole.dtypes)[g]}" for g in groups)
-    return small_table(spark, out, f"{own}{', ' if groups else ''}q array<double>")
+    own = [f"g{i}" for i in range(len(groups))]
+    v = F.col(value).cast("double")
+    base = df.select(*[F.col(g).alias(o) for g, o in zip(groups, own, strict=True)], F.when(~F.isnan(v), v + 0.0).alias("v"))
+    whole = written(base.groupBy(*own).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
+    base = base.filter("v IS NOT NULL")
+    place = [(F.col("n") - 1) * F.lit(float(s)) for s in shares]
+    sought = F.array_distinct(F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)]))
+    ranks = whole.filter("n > 0").select(*own, F.explode(sought).alias("r"), "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
+    for shift in (52, 40, 28, 16, 4, 0):
+        wide = F.col("lo") < F.col("hi")
+        if ranks.filter(wide & (F.col("n") > ranked)).isEmpty():
+            break
+        open_ = ranks.filter(wide & (F.col("n") > ranked))
+        rows = _within(base.withColumn("digits", F.shiftright(order_bits(F.col("v")), shift)), open_, own)
+        counts = rows.groupBy(*own, "lo", "digits").agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+        ranks = written(ranks.filter(~(wide & (F.col("n") > ranked))).unionByName(_narrowed(open_, counts, own, "digits")), "ranks")
+    open_ = ranks.filter("lo < hi")
+    counts = _within(base, open_, own).groupBy(*own, "lo", F.col("v").alias("at")).agg(F.count("*").alias("c")).withColumns({"first": F.col("at"), "last": F.col("at")})
+    found = ranks.filter("lo >= hi").unionByName(_narrowed(open_, counts, own, "at"))
+    values = found.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("r", F.col("lo").alias("x")))).alias("values"))
+    far = values.withColumnsRenamed({o: f"__{o}" for o in own})
+    both = whole.join(far, _same(own), "left") if groups else whole.join(F.broadcast(far), how="left")
+    q = F.array(*[_between(F.col("values")[F.floor(p).cast("long")], F.col("values")[F.ceil(p).cast("long")], p - F.floor(p)) for p in place])
+    return both.select(*[F.col(o).alias(g) for g, o in zip(groups, own, strict=True)], q.alias("q"))
+
+
+def _same(own: list[str]) -> list[Column]:
+    return [F.col(o).eqNullSafe(F.col(f"__{o}")) for o in own]
+
+
+def _within(rows: DataFrame, open_: DataFrame, own: list[str]) -> DataFrame:
+    """rows (own, v and more) that lie in an open range, with its lo. Ranges that are many meet rows dealt to copies of them."""
+    ranges = open_.select(*[F.col(o).alias(f"__{o}") for o in own], "lo", "hi").distinct()
+    on = [*_same(own), F.col("v").between(F.col("lo"), F.col("hi"))]
+    if not own or ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
+        return rows.join(F.broadcast(ranges), on)
+    copies = ranges.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    dealt = F.pmod(F.spark_partition_id(), F.lit(COPIES))
+    return rows.withColumn("__own", dealt).join(copies, [*on, F.col("__own") == F.col("__copy")])
+
+
+def _narrowed(open_: DataFrame, counts: DataFrame, own: list[str], by: str) -> DataFrame:
+    """The ranks with the range, among those counted (own, lo, c, first, last), that holds them."""
+    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy(*own, "lo").orderBy(by)))
+    far = upto.select(*[F.col(o).alias(f"__{o}") for o in own], F.col("lo").alias("__lo"), "c", "first", "last", "upto")
+    rest = F.col("r") - F.col("below")
+    hit = open_.join(far, [*_same(own), F.col("lo") == F.col("__lo"), rest < F.col("upto"), rest >= F.col("upto") - F.col("c")])
+    return hit.select(*own, "r", F.col("first").alias("lo"), F.col("last").alias("hi"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("n"))
+
+
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """a + (b - a) * share of doubles, a <= b, also where an end or the difference is infinite."""
+    inf = float("inf")
+    return F.when((a == b) | (share == 0), a).when((a > -inf) & (b < inf) & (b - a == inf), a * (1 - share) + b * share).when((a > -inf) & (b < inf), a + (b - a) * share).otherwise(a + b)
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -312,5 +312,26 @@ def offer_flattening(t):
         jsonflat.maps(array(obj("brand", F.lower("p_brand")), obj("offers.sku", F.lit("none")), obj("price", F.concat(F.lit("USD "), size)))).alias("parent_schema.org_properties"),
         F.lit(None).cast("string").alias("parent_NodeID"), F.lit("x").alias("availability"),
     )
-    flat = matching.flat_offers(rows, rows.select(text.offer_id(c("nodeID"), c("url")).alias("offer_id")))
+    flat = matching.flat_offers(rows, rows.select(text.offer_id(c("nodeID"), c("url")).alias("offer_id")), ["color", "offers_sku"])
     return flat.select("offer_id", "domain", "gtin", "brand", "name", "color", "offers_sku", "price", "cluster_id")
+
+
+NESTED = """SELECT p_partkey, unnest([struct_pack(name := 'a_b_c_d_e', v := CAST(p_size AS VARCHAR)), struct_pack(name := 'a_b_x' || (p_partkey * 4), v := p_brand), struct_pack(name := 'a_y' || (p_partkey * 4 + 1), v := p_type),
+  struct_pack(name := 'list_z' || (p_partkey * 4 + 2), v := greatest(p_name, p_brand)), struct_pack(name := 'plain' || (p_partkey * 4 + 3), v := p_name)]) AS o FROM part"""
+
+
+@query(f"SELECT p_partkey, o.name AS name, o.v AS value FROM ({NESTED})")
+def nested_properties(t):
+    """Properties of five levels, arrays of objects, and four names of its own for each part: every one is kept."""
+    key = lambda i: (F.col("p_partkey") * 4 + i).cast("string")
+    body = F.to_json(F.struct("p_size", "p_brand", "p_type", "p_name"))
+    get = lambda c: F.get_json_object(body, f"$.{c}")
+    obj = lambda *pairs: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit('"/'), k, F.lit('": '), v) for k, v in pairs]), F.lit("}"))
+    text_ = lambda v: F.concat(F.lit('"['), v, F.lit(']"'))
+    deep = obj((F.lit("c"), obj((F.lit("d"), obj((F.lit("e"), text_(get("p_size"))))))), (F.concat(F.lit("x"), key(0)), text_(get("p_brand"))))
+    a = obj((F.lit("b"), deep), (F.concat(F.lit("y"), key(1)), text_(get("p_type"))))
+    z = F.concat(F.lit("z"), key(2))
+    objects = F.concat(F.lit("["), obj((z, text_(get("p_brand")))), F.lit(","), obj((z, text_(get("p_name")))), F.lit("]"))
+    array = F.concat(F.lit("["), obj((F.lit("a"), a)), F.lit(","), obj((F.lit("list"), objects), (F.concat(F.lit("plain"), key(3)), text_(get("p_name")))), F.lit("]"))
+    rows = t.part.select("p_partkey", jsonflat.maps(array).alias("props"))
+    return jsonflat.shredded(rows, ["props"]).select("p_partkey", F.explode("props").alias("name", "value"))

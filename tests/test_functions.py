@@ -121,3 +121,22 @@ def test_stem_text(spark):
     df = spark.createDataFrame([("the cats",), (None,), ("",)], "x string")
     assert [r[0] for r in df.select(stem.stemmed(F.col("x"))).collect()] == ["cat", None, ""]
     assert math.isclose(len(stem.STOP_WORDS), 179, abs_tol=5)
+
+
+def test_shredded_json_of_any_depth_and_number_of_keys(spark):
+    deep = '"[x]"'
+    for i in reversed(range(30)):
+        deep = f'{{"/k{i}": {deep}}}'
+    many = "{" + ",".join(f'"n{i}": "[{i}]"' for i in range(7000)) + "}"
+    rows = [(1, f'[{{"/deep": {deep}}}]'), (2, f'[{{"many": {many}}}]'), (3, None), (4, "[]"), (5, "broken"), (6, '[{"a.b": "[1]"}, {"a": {"b": "[2]"}}, {"a_b": "null"}, {"c": "{not json"}, {"d": {}}, {"e": null}]')]
+    rows.append((7, '[{"o": [{"/s": "[1]"}, {"/s": "[3]", "t": "null"}, {"/s": "[2]"}]}, {"p": "[red]"}, {"q": "[]"}]'))
+    df = spark.createDataFrame(rows, "id int, j string").select("id", jsonflat.maps(F.col("j")).alias("j"))
+    out = jsonflat.shredded(df, ["j"])
+    got = {r["id"]: r["j"] for r in out.collect()}
+    assert got[1] == {"deep_" + "_".join(f"k{i}" for i in range(30)): "x"}
+    assert got[2] == {f"many_n{i}": str(i) for i in range(7000)}
+    assert got[3] == got[4] == got[5] == {}
+    assert got[6] == {"a_b": "2", "c": "{not json"}
+    assert got[7] == {"o_s": "3", "p": "red", "q": ""}
+    counts = {r["name"]: r["n"] for r in jsonflat.key_counts(out, ["j"]).collect()}
+    assert len(counts) == 1 + 7000 + 2 + 3 and set(counts.values()) == {1}

@@ -110,6 +110,41 @@ def test_quantiles_are_exact(spark, ranked):
     assert five["d"] == 5.0 and five["c"] is None and len(five) == 6
 
 
+def test_bits_are_in_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64).view(np.float64)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([x[np.isfinite(x)], powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), [0.0, np.inf], rng.normal(size=1000) ** 2])
+    x = np.concatenate([x, -x])
+    got = np.array([r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(stats.order_bits(F.col("x"))).collect()])
+    size = np.abs(x).view(np.int64)
+    assert (got == np.where(x < 0, -size, size)).all()
+
+
+@pytest.mark.parametrize("ranked", [stats.RANKED, 3])
+def test_quantiles_of_infinities(spark, ranked):
+    inf = float("inf")
+    sets = {"up": [1.0, 2.0] + [inf] * 8, "two": [-inf] * 3 + [inf] * 3, "low": [-inf] * 5 + [4.0] * 4, "mid": [-inf, 1.0, 5e-324, 0.0, -0.0, 1e308, inf], "wide": [-1.7e308, 1.7e308]}
+    df = spark.createDataFrame([(g, x) for g, xs in sets.items() for x in xs], "g string, x double")
+    got = {r["g"]: r["q"] for r in stats.quantiles(df, "x", ["g"], [0.0, 0.15, 0.5, 1.0], ranked).collect()}
+    assert got["up"][0] == 1.0 and got["up"][1] == inf and got["up"][2:] == [inf, inf]
+    assert got["two"][0] == -inf and math.isnan(got["two"][2]) and got["two"][3] == inf
+    assert got["low"] == [-inf, -inf, -inf, 4.0]
+    assert got["mid"][2] == 5e-324 and got["mid"][3] == inf and got["mid"][1] == -inf
+    assert got["wide"][2] == 0.0
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    """More groups than are broadcast: ranges are joined by shuffle, and a large group is dealt to copies."""
+    monkeypatch.setattr(stats, "BROADCAST_RANGES", 100)
+    df = spark.range(60_000).select(F.when(F.col("id") < 20_000, F.lit(-1)).otherwise(F.floor(F.col("id") / 2)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("x"))
+    got = {r["g"]: r["q"] for r in stats.quantiles(df, "x", ["g"], [0.5], 500).collect()}
+    mine: dict = {}
+    for g, x in df.collect():
+        mine.setdefault(g, []).append(x)
+    assert len(got) == 20_001 and all(got[g] == [np.median(xs)] for g, xs in mine.items())
+
+
 def test_description_of_all_columns(spark):
     df = spark.createDataFrame([(1, "b", None), (2, "a", None), (2, "b", None), (3, "a", None)], "i int, s string, n string")
     got = {r["column"]: tuple(r)[1:] for r in stats.described(df, ["i", "s", "n"]).collect()}

@@ -62,13 +62,13 @@ def test_pairs_stay_in_each_file_they_are_in(spark):
     assert got == sorted(set(rows), key=str)
 
 
-def test_every_key_of_an_offer_becomes_a_column(spark):
+def test_every_key_of_an_offer_is_kept(spark):
     rows = [{"nodeID": "n", "url": "u", "cluster_id": "c", "identifiers": [{"/gtin8": "[8]"}, {"/isbn": "[i]"}], "schema.org_properties": [{"/color": "[red]"}, {"/offers": {"/sku": "[s]", "deep": {"er": "1"}}}, {"/sku": "[other]"}],
              "parent_schema.org_properties": [{"/color": "[blue]"}, {"/material": "[wood]"}], "parent_NodeID": None, "availability": None}]
     raw = spark.read.schema(schemas.OFFER_RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
-    one = matching.flat_offers(raw, spark.createDataFrame([("n u",)], "offer_id string")).first().asDict()
-    assert (one["gtin"], one["isbn"], one["color"], one["offers_sku"], one["offers_deep_er"], one["sku"]) == ("8", "i", "red", "s", "1", "other")
-    assert one.get("parent_material", one.get("material")) == "wood"
+    one = matching.flat_offers(raw, spark.createDataFrame([("n u",)], "offer_id string"), ["color", "isbn", "offers_deep_er"]).first().asDict()
+    assert (one["gtin"], one["isbn"], one["color"], one["offers_deep_er"], one["sku"]) == ("8", "i", "red", "1", "other")
+    assert one["others"] == {"offers_sku": "s", "material": "wood"}
 
 
 def test_search_refit_and_results_in_files(spark, tmp_path):
