@@ -36,9 +36,9 @@ _UNSURE = re.compile(rb"[.!\s]\.|\s\s|\t")
 
 
 class ByteChunks(dict):
-    """chunk -> its ids as bytes, four to an id. When it holds `limit` chunks these become the older half; no id changes."""
+    """chunk of Latin-1 text -> its ids as bytes, four to an id. When it holds `limit` chunks these become the older half; no id changes."""
 
-    def __init__(self, path: str | None = None, limit: int = 150_000):
+    def __init__(self, path: str | None = None, limit: int = 250_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -54,8 +54,10 @@ class ByteChunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self._older.get(chunk)) is None:
-            if self._merge is None or any(ord(c) > 255 for c in chunk):
+            if self._merge is None:
                 found = self._encode(chunk)
+            elif (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+                found = array("I", self._merge(chunk.encode())).tobytes()
             else:
                 found = array("I", [i for piece in _PIECE.findall(chunk) for i in self._merge(piece.encode())]).tobytes()
         if len(chunk) <= 64:
