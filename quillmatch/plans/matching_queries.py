@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmatch import schemas
 from quillmatch.functions import jsonflat, similarity, stem, text
 from quillmatch.operators import models, relational, stats, vectors
 from quillmatch.plans import matching
@@ -180,7 +181,7 @@ FROM documents p JOIN documents q ON q.doc_id = p.doc_id + 1 LEFT JOIN w a ON a.
 def tfidf_cosine_pairs(t):
     ids = t.documents.select(F.col("doc_id").alias("d1"))
     pairs = ids.join(ids.select((F.col("d1") - 1).alias("d1"), F.col("d1").alias("d2")), "d1")
-    out = vectors.pair_cosines(pairs, vectors.tfidf(t.documents, "doc_id", "text", 1, 1), "doc_id", "d1", "d2")
+    out = vectors.pair_cosines(pairs, vectors.tfidf(t.documents, "doc_id", "text", 1, 1), ["d1"], ["d2"], ["doc_id"])
     return out.select("d1", "d2", F.round("cosine", 6).alias("cosine"))
 
 
@@ -335,3 +336,66 @@ def nested_properties(t):
     array = F.concat(F.lit("["), obj((F.lit("a"), a)), F.lit(","), obj((F.lit("list"), objects), (F.concat(F.lit("plain"), key(3)), text_(get("p_name")))), F.lit("]"))
     rows = t.part.select("p_partkey", jsonflat.maps(array).alias("props"))
     return jsonflat.shredded(rows, ["props"]).select("p_partkey", F.explode("props").alias("name", "value"))
+
+
+def part_offers(t):
+    """Offers made of parts, with all ten features; the description is the text of the document of the same number."""
+    c = F.col
+    d = t.documents.select(c("doc_id").alias("p_partkey"), c("text").alias("description"))
+    category = F.element_at(F.array(*[F.lit(x) for x in ("computers", "cameras", "watches", "shoes")]), F.pmod(c("p_size"), F.lit(4)).cast("int") + 1)
+    return t.part.join(d, "p_partkey", "left").select(
+        F.concat(F.lit("o"), c("p_partkey")).alias("offer_id"), c("p_brand").alias("brand"), F.when(c("p_partkey") % 5 > 0, c("p_type")).alias("manufacturer"), c("p_size").cast("string").alias("gtin"),
+        F.concat(F.lit("m"), c("p_partkey") % 50).alias("mpn"), c("p_name").alias("sku"), F.when(c("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("id"), c("p_partkey"))).alias("identifier"),
+        F.concat("p_name", F.lit(" "), "p_type").alias("name"), category.alias("category"), F.when(c("p_partkey") % 7 > 0, c("p_retailprice")).alias("price"), "description",
+    )
+
+
+def part_offer_pairs(t):
+    """Pairs of these offers of one brand and size: a match is of one type, a third is for tests."""
+    both, c = part_pairs(t), F.col
+    category = F.element_at(F.array(*[F.lit(x) for x in ("computers", "cameras", "watches", "shoes")]), F.pmod(c("p_size"), F.lit(4)).cast("int") + 1)
+    dataset = F.when(c("k1") % 3 > 0, "train").otherwise("test")
+    return both.select(F.concat(F.lit("o"), "k1").alias("offer_id_1"), F.concat(F.lit("o"), "k2").alias("offer_id_2"), (c("p_type_1") == c("p_type_2")).cast("tinyint").alias("label"), F.concat(category, F.lit("_"), dataset).alias("filename"), dataset.alias("dataset"), category.alias("file_category"))
+
+
+def _lev(c: str) -> str:
+    return f"CASE WHEN nullif(a.{c}, '') IS NULL OR nullif(b.{c}, '') IS NULL THEN 0 ELSE round(1 - levenshtein(a.{c}, b.{c}) / greatest(length(a.{c}), length(b.{c})), 6) END AS {c}"
+
+
+FEATURE_PATH = f"""
+WITH o AS (
+  SELECT p_partkey AS k, 'o' || p_partkey AS offer_id, p_brand AS brand, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS manufacturer, CAST(p_size AS VARCHAR) AS gtin, 'm' || (p_partkey % 50) AS mpn, p_name AS sku,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'id' || p_partkey END AS identifier, p_name || ' ' || p_type AS name, ['computers', 'cameras', 'watches', 'shoes'][p_size % 4 + 1] AS category,
+    CASE WHEN p_partkey % 7 > 0 THEN p_retailprice END AS price, text AS description, p_type FROM part LEFT JOIN documents ON doc_id = p_partkey
+), p AS (SELECT a.offer_id AS offer_id_1, b.offer_id AS offer_id_2, a.k AS k, a.category AS cat, a.p_type = b.p_type AS same FROM o a JOIN o b ON a.brand = b.brand AND a.gtin = b.gtin AND a.k < b.k
+), u AS (SELECT DISTINCT cat, unnest([offer_id_1, offer_id_2]) AS offer_id FROM p
+), t AS (SELECT cat, u.offer_id, regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM u JOIN o ON o.offer_id = u.offer_id
+), x AS (
+  SELECT cat, offer_id, unnest(ws) AS term FROM t
+  UNION ALL SELECT cat, offer_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM t)
+  UNION ALL SELECT cat, offer_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM t)
+), tf AS (SELECT cat, offer_id, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT cat, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT cat, count(*) AS n FROM t GROUP BY 1
+), r AS (SELECT tf.cat, offer_id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df ON df.cat = tf.cat AND df.term = tf.term JOIN n ON n.cat = tf.cat
+), w AS (SELECT cat, offer_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cat, offer_id)) AS w FROM r
+), c AS (SELECT offer_id_1, offer_id_2, sum(x.w * y.w) AS cosine FROM p JOIN w x ON x.cat = p.cat AND x.offer_id = offer_id_1 JOIN w y ON y.cat = p.cat AND y.offer_id = offer_id_2 AND y.term = x.term GROUP BY ALL
+), h AS (SELECT DISTINCT offer_id FROM w)
+SELECT p.offer_id_1, p.offer_id_2, CAST(same AS INTEGER) AS label, cat || CASE WHEN p.k % 3 > 0 THEN '_train' ELSE '_test' END AS filename, CASE WHEN p.k % 3 > 0 THEN 'train' ELSE 'test' END AS dataset, cat AS file_category,
+  {", ".join(_lev(c) for c in ("brand", "manufacturer", "gtin", "mpn", "sku", "identifier", "name"))}, CAST(a.category = b.category AS INTEGER) AS category,
+  coalesce(round(abs(a.price - b.price) / greatest(a.price, b.price), 6), 0) AS price, round(coalesce(cosine, 0), 6) AS description,
+  CASE WHEN p.offer_id_1 IN (SELECT offer_id FROM h) AND p.offer_id_2 IN (SELECT offer_id FROM h) THEN round(1 - coalesce(cosine, 0), 6) ELSE 0 END AS description_distance_compat
+FROM p JOIN o a ON a.offer_id = p.offer_id_1 JOIN o b ON b.offer_id = p.offer_id_2 LEFT JOIN c ON c.offer_id_1 = p.offer_id_1 AND c.offer_id_2 = p.offer_id_2
+"""
+
+
+@query(FEATURE_PATH)
+def feature_path(t):
+    """The ten features of every pair, from offers to vectors: similarities, exact match, and a corpus for each category."""
+    out = matching.attribute_features(part_offer_pairs(t), part_offers(t))
+    whole = {c: F.col(c).cast("int") for c in ("label", "category")}
+    return out.withColumns(whole | {c: F.round(c, 6) for c in out.columns if c not in ("category", *schemas.PAIR_KEY)})
+
+
+@query()
+def document_path(t):
+    """The other features of every pair: differences of the offers' documents along the leading components."""
+    return matching.document_features(part_offer_pairs(t), part_offers(t), components=20)

@@ -54,7 +54,7 @@ def test_tfidf_has_length_one_and_cosine_of_itself(spark):
     w = vectors.tfidf(docs, "id", "t", 1, 2)
     assert all(r[1] == pytest.approx(1) for r in w.groupBy("id").agg(F.sum(F.col("w") * F.col("w"))).collect())
     pairs = spark.createDataFrame([(1, 4), (1, 3), (1, 2)], "a int, b int")
-    got = {(r["a"], r["b"]): r["cosine"] for r in vectors.pair_cosines(pairs, w, "id", "a", "b").collect()}
+    got = {(r["a"], r["b"]): r["cosine"] for r in vectors.pair_cosines(pairs, w, ["a"], ["b"], ["id"]).collect()}
     assert got[1, 4] == pytest.approx(1) and got[1, 3] == 0 and 0 < got[1, 2] < 1
     by = vectors.tfidf(docs.withColumn("g", F.col("id") % 2), "id", "t", 1, 1, groups=("g",))
     assert by.select("g").distinct().count() == 2
@@ -66,7 +66,7 @@ def test_svd_keeps_inner_products(spark):
     v, ratios = vectors.truncated_svd(w, "id", components=9)
     got = {r["id"]: r["v"] for r in v.collect()}
     assert sum(a * b for a, b in zip(got[0], got[0], strict=True)) == pytest.approx(1)
-    exact = vectors.pair_cosines(spark.createDataFrame([(0, 3)], "a int, b int"), w, "id", "a", "b").first()["cosine"]
+    exact = vectors.pair_cosines(spark.createDataFrame([(0, 3)], "a int, b int"), w, ["a"], ["b"], ["id"]).first()["cosine"]
     assert sum(a * b for a, b in zip(got[0], got[3], strict=True)) == pytest.approx(exact)
     assert sum(ratios) == pytest.approx(1)
     assert vectors.components_to_keep([0.5, 0.4, 0.0995, 0.0005]) == 2
@@ -277,3 +277,28 @@ def test_models_learn(spark):
     circle = [(i, int(x * x + y * y < 1), x, y) for i, (x, y) in enumerate((rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(400))]
     c = models.with_weights(models.fourier_features(spark.createDataFrame(circle, "id int, label int, a double, b double"), ["a", "b"], gamma=1.0))
     assert evaluate.scores(models.fit_predict(c, c, models.classifiers()["svc"])).first()["f1"] > 0.8
+
+
+def test_terms_are_numbers_with_a_dictionary(spark):
+    docs = spark.createDataFrame([(1, "red cat sat on red cat"), (2, "red"), (3, None), (4, "")], "id int, t string")
+    known = {r["term"]: r["words"] for r in vectors.dictionary(docs, "t", 1, 3).collect() if not r["shared"]}
+    assert sorted(known.values()) == sorted({"red", "cat", "sat", "on", "red cat", "cat sat", "sat on", "on red", "red cat sat", "cat sat on", "sat on red", "on red cat"})
+    tf = {(r["id"], known[r["term"]]): r["tf"] for r in vectors.term_counts(docs, "id", "t", 1, 3).collect()}
+    assert tf[1, "red cat"] == 2 and tf[2, "red"] == 1 and len(tf) == 13
+    df = {known[r["term"]]: r["df"] for r in vectors.document_frequencies(docs, "t", 2, 3).collect()}
+    assert set(df.values()) == {1} and "red" not in df and len(df) == 8
+
+
+def test_frequent_terms_are_split(spark, monkeypatch):
+    """Zipf's words, more than are broadcast: the weights are those of the broadcast table, and no task holds a frequent word's rows."""
+    rng = random.Random(6)
+    texts = [(i, "the " + " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(20))) for i in range(600)]
+    docs = spark.createDataFrame(texts, "id int, t string").repartition(8)
+    key = lambda df: {(r["id"], r["term"]): round(r["w"], 12) for r in df.collect()}
+    whole = key(vectors.tfidf(docs, "id", "t", 1, 1))
+    monkeypatch.setattr(vectors, "BROADCAST_TERMS", 50)
+    monkeypatch.setattr(vectors, "HOT", 30)
+    split = vectors.tfidf(docs, "id", "t", 1, 1)
+    assert key(split) == whole
+    monkeypatch.setattr(vectors, "HOT", 2)  # even the frequent ones are many: they are salted
+    assert key(vectors.tfidf(docs, "id", "t", 1, 1)) == whole
