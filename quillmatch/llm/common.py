@@ -6,13 +6,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.operators.hotkeys import BROADCAST_ROWS, fresh, joined_by_hot_keys
 from quillmatch.sources.scratch import drop_path, drop_table, scratch, shared_dir, written
 
 #: Sets of ids of up to so many rows are broadcast to pick rows; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-#: Keys of more rows than HOT are joined apart: broadcast if they are few, else in SALTS parts.
-HOT, SALTS = 256, 64
+BROADCAST_IDS = BROADCAST_ROWS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,25 +40,4 @@ def release(*frames: DataFrame) -> None:
         df.unpersist()
 
 
-def joined_by_hot_keys(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the other columns of `of` by keys, a left join; n in `of` counts a key's rows, and goes.
-
-    No key's rows meet in one task: those of keys with more than HOT rows are joined to a broadcast table of these
-    keys, or, where even these are many, to SALTS copies of each.
-    """
-    far = {k: f"__{k}" for k in keys}
-    mine = [c for c in of.columns if c not in (*keys, "n")]
-    large = of.filter(F.col("n") > HOT).select(*[F.col(k).alias(v) for k, v in far.items()], *[F.col(c).alias(f"__{c}") for c in mine], F.lit(True).alias("__large"))
-    on = [F.col(k) == F.col(v) for k, v in far.items()]
-    if large.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        first = rows.join(F.broadcast(large), on, "left")
-    else:
-        salted = large.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        first = rows.join(salted, [*on, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") == F.col("__part")], "left").drop("__part")
-    found = first.filter("__large").select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in mine])
-    small = of.filter(F.col("n") <= HOT).select(*[F.col(k).alias(v) for k, v in far.items()], *mine)
-    rest = first.filter("__large IS NULL").select(*rows.columns).join(small, on, "left").select(*rows.columns, *mine)
-    return found.unionByName(rest)
-
-
-__all__ = ["BROADCAST_IDS", "LOWER", "UPPER", "ascii_lower", "drop_path", "drop_table", "joined_by_hot_keys", "kept", "release", "scratch", "shared_dir", "table", "written"]
+__all__ = ["BROADCAST_IDS", "LOWER", "UPPER", "ascii_lower", "drop_path", "drop_table", "fresh", "joined_by_hot_keys", "kept", "release", "scratch", "shared_dir", "table", "written"]

@@ -127,17 +127,18 @@ def materialise(documents: DataFrame, folder: str, key: int, length: int = 2048,
         import pyarrow as pa
 
         schema = pa.schema([("sequence", pa.int64()), ("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
-        rows, told = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist()), []
+        rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in b.slice(at, 64).to_pylist())
         fill = np.array([END], "<u2").tobytes() * length
 
-        def records(first):
-            for r in _chain(first, rows):
-                told.append((r["sequence"], r["slot"], r["shard"], (r["slot"] % shard_sequences) * stride, r["n_tokens"], zlib.crc32(r["ids"]), r["doc_ids"]))
-                yield (r["ids"] + fill)[:stride]
+        def told(first):
+            """Writes the shard; a row of each sequence once it is written, so that no more than a batch is held."""
+            with store.part_file(f"{folder}/{_name(first['shard'])}") as out:
+                for r in _chain(first, rows):
+                    out.write((r["ids"] + fill)[:stride])
+                    yield r["sequence"], r["slot"], r["shard"], (r["slot"] % shard_sequences) * stride, r["n_tokens"], zlib.crc32(r["ids"]), r["doc_ids"]
 
         if (first := next(rows, None)) is not None:
-            store.write_then_move(f"{folder}/{_name(first['shard'])}", records(first))
-        yield from as_batches(told, schema)
+            yield from as_batches(told(first), schema, 64)
 
     kind = "sequence long, slot long, shard int, n_tokens long, doc_ids array<long>, ids binary"
     few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

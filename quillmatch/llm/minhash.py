@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import BROADCAST_IDS, drop_table, joined_by_hot_keys, kept, release, written
+from quillmatch.llm.common import BROADCAST_IDS, drop_table, fresh, joined_by_hot_keys, kept, release, written
 from quillmatch.llm.components import components
 from quillmatch.llm.wordhash import SPACES, mix, parts, word_hashes
 
@@ -454,19 +454,19 @@ def deduplicate(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     Of a group stays the smallest doc_id, of groups without any the text with the smallest hash. Of rows that share a
     doc_id, or without one a text, one stays: one with words if there is, then that with the smallest hash of its
     text; rows equal in text differ in no column that is read here, and any of them may stay. Rows without a doc_id
-    and without words all stay.
+    and without words all stay. Columns of any name pass through. An empty table stays one.
     """
-    g = _grouped(documents, words, percent)
-    gone = g.filter("id <> root").select(F.col("id").alias("__gone")).distinct()
-    again = g.filter("id = root AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy(F.col("id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1").select("__again")
+    g, (node, lost, twice, row) = _grouped(documents, words, percent), (fresh(documents, x) for x in ("__node", "__gone", "__again", "__row"))
+    gone = g.filter("id <> root").select(F.col("id").alias(lost)).distinct()
+    again = g.filter("id = root AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy(F.col("id").alias(twice)).agg(F.count("*").alias("n")).filter("n > 1").select(twice)
     few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    rows = documents.withColumn("__node", node_of(documents))
-    left = rows.join(few(gone), F.col("__node") == F.col("__gone"), "left_anti")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    left = documents.withColumn(node, node_of(documents)).join(few(gone), F.col(node) == F.col(lost), "left_anti")
     if not again.isEmpty():
         again = few(again)
         worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        on, one = F.col("__node") == F.col("__again"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.struct(~worded, F.xxhash64(F.col("text").cast("string"))))
+        on, one = F.col(node) == F.col(twice), F.min_by(F.struct(*columns), F.struct(~worded, F.xxhash64(F.col("text").cast("string"))))
         named = worded | F.col("doc_id").isNotNull()
-        once = left.filter(named).join(again, on, "left_semi").groupBy("__node").agg(one.alias("r")).select("__node", "r.*")
-        left = left.filter(~named).unionByName(left.filter(named).join(again, on, "left_anti")).unionByName(once)
-    return left.select(*[F.col(f"`{c}`") for c in documents.columns])
+        once = left.filter(named).join(again, on, "left_semi").groupBy(node).agg(one.alias(row)).select(*[F.col(row)[c].alias(c) for c in documents.columns])
+        left = left.filter(~named).select(*columns).unionByName(left.filter(named).join(again, on, "left_anti").select(*columns)).unionByName(once)
+    return left.select(*columns)

@@ -155,19 +155,19 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 17, buckets: int =
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in (raw, target, toxic, clean))], ["b", "raw", "target", "toxic", "clean"])
 
     sums = [F.sum(c).alias(c) for c in ("raw", "target", "toxic", "clean")]
-    counts = docs.select("text", *ROLES).mapInArrow(count, "b int, raw long, target long, toxic long, clean long").groupBy("b").agg(*sums).toPandas()
+    counts = docs.select("text", *ROLES).mapInArrow(count, "b int, raw long, target long, toxic long, clean long").groupBy("b").agg(*sums).toArrow()
+    at = counts.column("b").to_numpy()
+    raw, target, bad, clean = (counts.column(c).to_numpy().astype(float) for c in ("raw", "target", "toxic", "clean"))
     weights = np.zeros(2 * buckets)
-    for half in (counts["b"] < buckets, (counts["b"] >= buckets) & (counts["b"] < 2 * buckets)):
-        part = counts[half]
-        raw, target = part["raw"].to_numpy(float), part["target"].to_numpy(float)
-        expected = raw * (target.sum() / max(1.0, raw.sum()))
-        weights[part["b"].to_numpy()] = np.log((target + shrink) / (expected + shrink))
-    n_toxic, n_clean = counts.loc[counts["b"] == 2 * buckets, ["toxic", "clean"]].sum()
+    for half in (at < buckets, (at >= buckets) & (at < 2 * buckets)):
+        expected = raw[half] * (target[half].sum() / max(1.0, raw[half].sum()))
+        weights[at[half]] = np.log((target[half] + shrink) / (expected + shrink))
+    n_toxic, n_clean = bad[at == 2 * buckets].sum(), clean[at == 2 * buckets].sum()
     toxic = None
     if n_toxic:
-        toxic, part = np.zeros(2 * buckets), counts[counts["b"] < 2 * buckets]
-        expected = (part["toxic"] + part["clean"]).to_numpy(float) * (n_toxic / (n_toxic + n_clean))
-        toxic[part["b"].to_numpy()] = np.log((part["toxic"].to_numpy(float) + TOXIC_SHRINK) / (expected + TOXIC_SHRINK))
+        toxic, own = np.zeros(2 * buckets), at < 2 * buckets
+        expected = (bad + clean)[own] * (n_toxic / (n_toxic + n_clean))
+        toxic[at[own]] = np.log((bad[own] + TOXIC_SHRINK) / (expected + TOXIC_SHRINK))
     model = Model(weights, seed, toxic=toxic, temperature=temperature)
     scored = written(docs.select("doc_id", "text", "__target", "__clean").mapInArrow(_scorer(model), "doc_id long, target int, clean int, n_features long, log_weight double, key double, toxicity double"), "weights")
     marks = [F.percentile_approx(F.when(F.col(role) == 2, F.col(c)), F.lit(share), F.lit(1_000_000)) for role, c, share in (("target", "log_weight", target_loss), ("clean", "toxicity", 1 - CLEAN_LOSS))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 
@@ -17,18 +18,26 @@ def make_dir(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
+@contextmanager
+def part_file(uri: str):
+    """A stream to a file beside the target, which is moved there when all is written; a failed write leaves no target."""
+    fs, path = resolve(uri)
+    beside = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(beside) as out:
+        yield out
+    fs.move(beside, path)
+
+
 def write_then_move(uri: str, chunks) -> int:
     """Writes byte strings to a file beside the target and moves it there when whole; bytes written.
 
     A task that runs twice writes the same bytes twice, and readers never see half a file.
     """
-    fs, path = resolve(uri)
-    beside, n = f"{path}.{uuid.uuid4().hex}.part", 0
-    with fs.open_output_stream(beside) as out:
+    n = 0
+    with part_file(uri) as out:
         for x in chunks:
             out.write(x)
             n += len(x)
-    fs.move(beside, path)
     return n
 
 

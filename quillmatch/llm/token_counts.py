@@ -36,18 +36,18 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer, doc_ids = worker_tokenizer(path, specials_as_text=True), []
+        tokenizer, end = worker_tokenizer(path, specials_as_text=True), np.array([END], "<u2").tobytes()
         name = f"part-{TaskContext.get().partitionId():06d}{SUFFIX}"
 
-        def chunks():
-            end = np.array([END], "<u2").tobytes()
-            for doc_id, text in texts_of(batches):
-                doc_ids.append(doc_id)
-                yield tokenizer.ids(text).astype("<u2").tobytes() + end
+        def told():
+            """Writes the file; a row of each document once it is written, so that no more than a batch is held."""
+            with store.part_file(f"{folder}/{name}") as out:
+                for i, (doc_id, text) in enumerate(texts_of(batches)):
+                    out.write(tokenizer.ids(text).astype("<u2").tobytes() + end)
+                    yield name, i, doc_id
 
-        store.write_then_move(f"{folder}/{name}", chunks())
         schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
-        yield from as_batches(((name, i, d) for i, d in enumerate(doc_ids)), schema)
+        yield from as_batches(told(), schema)
 
     slim = documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string"))
     return written(slim.mapInArrow(run, "file string, ordinal long, doc_id long"), "token-manifest")

@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import LOWER, UPPER, joined_by_hot_keys
+from quillmatch.llm.common import LOWER, UPPER, fresh, joined_by_hot_keys
 from quillmatch.llm.lookup import Lookup
 
 #: The item that stands for the unwanted class; no URL token starts like it.
@@ -147,11 +147,12 @@ def with_confidence(pages: DataFrame, rules: DataFrame, items: Items, max_rules:
         index = Lookup(keyed.withColumn("h", F.xxhash64("key")), "h", F.struct("antecedent", "confidence"), "struct<antecedent:array<string>,confidence:double>", limit=max_rules)
         near = F.flatten(F.transform(own, lambda t: index.probe(F.xxhash64(t))))
         return pages.withColumn("mined_confidence", F.array_max(F.transform(F.filter(near, lambda r: holds(own, r["antecedent"])), lambda r: r["confidence"])))
-    told = pages.withColumn("__set", F.sha2(F.array_join(F.array_sort(own), "\n"), 256))
-    sets = told.withColumn("__own", own).groupBy("__set").agg(F.first("__own").alias("__own"), F.count("*").alias("n"))
-    near = sets.select("__set", "__own", F.explode("__own").alias("key")).join(keyed, "key").filter(holds(F.col("__own"), F.col("antecedent")))
-    best = near.groupBy("__set").agg(F.max("confidence").alias("mined_confidence"))
-    return joined_by_hot_keys(told, sets.select("__set", "n").join(best, "__set"), ["__set"]).drop("__set")
+    group, one = fresh(pages, "__set"), fresh(pages, "__own")
+    told = pages.withColumn(group, F.sha2(F.array_join(F.array_sort(own), "\n"), 256))
+    sets = told.withColumn(one, own).groupBy(group).agg(F.first(one).alias("own"), F.count("*").alias("n"))
+    near = sets.select(group, "own", F.explode("own").alias("key")).join(keyed, "key").filter(holds(F.col("own"), F.col("antecedent")))
+    best = near.groupBy(group).agg(F.max("confidence").alias("mined_confidence"))
+    return joined_by_hot_keys(told, sets.select(group, "n").join(best, group), [group]).drop(group)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, given: list[tuple[str, str, str]], min_support: float = 0.002, min_confidence: float = 0.6, max_rules: int = MAX_RULES) -> DataFrame:

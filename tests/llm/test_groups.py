@@ -436,3 +436,13 @@ def test_pipeline_stage_by_stage(spark):
     four = p.pack(spark, three, FOLDER).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
     assert {r["doc_id"] for r in four} == {r["doc_id"] for r in three.collect()} and all(r["n"] == r["of"] for r in four)
     assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "benchmark_text", "pack"]
+
+
+def test_deduplicate_passes_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 77, "a", 1, 2), (1, text, 77, "a", 1, 2), (2, text + " more", 78, "b", 3, 4), (3, "other words stand here", 79, "c", 5, 6), (None, "", 80, "d", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __node long, __gone string, __again int, __row int")
+    out = minhash.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    assert minhash.deduplicate(df.limit(0)).count() == 0
