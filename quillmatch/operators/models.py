@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmatch.operators import logistic
 from quillmatch.operators.relational import hash_split
+from quillmatch.sources.scratch import drop_table, written
 
 
 def standard_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -208,23 +210,30 @@ def importances(model, columns: list[str]) -> list[tuple[str, float]]:
 EXPONENTS = range(-3, 4)
 
 
-def elastic_net(train: DataFrame, columns: list[str], mixes: list[float] | None = None, penalties: list[float] | None = None, key: str = "vec_id", folds: int = 5, repeats: int = 3, label: str = "label", parallelism: int = 8):
+def elastic_net(train: DataFrame, columns: list[str], mixes: list[float] | None = None, penalties: list[float] | None = None, key: str = "vec_id", folds: int = 5, repeats: int = 3, label: str = "label"):
     """The best logistic regression over mixes (held to 0 .. 1; those that then are equal are one) and penalties.
 
-    Accuracy is the mean over `folds` stratified folds, dealt `repeats` times; ties go to the earlier point. Returns
-    the model refitted on all of train, its mix and its penalty.
+    Accuracy is the mean over `folds` stratified folds, dealt `repeats` times; ties go to the earlier point. All models
+    of a penalty are fitted in the same passes over the rows. Returns the model refitted on all of train, its mix and
+    its penalty.
     """
     mixes = sorted({min(1.0, max(0.0, x)) for x in (mixes or [10.0**i for i in EXPONENTS])})
-    points = [{"elasticNetParam": m, "regParam": p} for m in mixes for p in (penalties or [10.0**i for i in EXPONENTS])]
-    lr = LogisticRegression(labelCol=label, maxIter=50, **({"weightCol": "weight"} if "weight" in train.columns else {}))
-    whole = assembled(train, columns).select(key, label, "features", *(["weight"] if "weight" in train.columns else []))
-    totals = [0.0] * len(points)
+    grid = [(m, p) for m in mixes for p in (penalties or [10.0**i for i in EXPONENTS])]
+    weighed = "weight" in train.columns
+    dealt = train
     for r in range(repeats):
-        dealt = stratified_folds(whole.withColumn("__turn", F.xxhash64(key, F.lit(r))), label, "__turn", folds).drop("__turn")
-        judged = grid_search(dealt, lr, points, folds=folds, parallelism=parallelism)
-        totals = [t + m for t, m in zip(totals, judged.avgMetrics, strict=True)]
-    best = points[max(range(len(points)), key=lambda i: (totals[i], -i))]
-    return lr.copy({getattr(lr, k): v for k, v in best.items()}).fit(whole), best["elasticNetParam"], best["regParam"]
+        dealt = stratified_folds(dealt.withColumn("__turn", F.xxhash64(key, F.lit(r))), label, "__turn", folds, name=f"__fold{r}").drop("__turn")
+    rows = written(
+        dealt.select(
+            F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("double").alias("y"),
+            (F.col("weight").cast("double") if weighed else F.lit(1.0)).alias("w"), F.array(*[f"__fold{r}" for r in range(repeats)]).alias("folds"),
+        ), "folds"
+    )
+    scores = logistic.cross_validated(rows, grid, folds, repeats)
+    drop_table(rows)
+    mix, penalty = grid[max(range(len(grid)), key=lambda i: (scores[i], -i))]
+    lr = LogisticRegression(labelCol=label, maxIter=50, elasticNetParam=mix, regParam=penalty, **({"weightCol": "weight"} if weighed else {}))
+    return lr.fit(assembled(train, columns).select(label, "features", *(["weight"] if weighed else []))), mix, penalty
 
 
 def elastic_net_refined(train: DataFrame, columns: list[str], **parameters):
@@ -287,50 +296,6 @@ def informative(df: DataFrame, columns: list[str], most_correlation: float = 0.9
     return [c for c, x in zip(kept, left, strict=True) if x]
 
 
-def _binomial_fits(rows: DataFrame, models: list[list[int]], starts: list, iterations: int = 25, tolerance: float = 1e-8) -> list[tuple]:
-    """(coefficients, deviance) of binomial models of some columns of x each, all at once.
-
-    rows: x array<double>, with the 1 of the intercept, and y. Every iteration of Fisher scoring is one pass over the
-    rows for all models; only their small matrices reach the driver.
-    """
-    import numpy as np
-
-    width, beta, dev, open_ = len(models), [np.array(s, float) for s in starts], [np.inf] * len(models), set(range(len(models)))
-
-    def passed(batches):
-        import pyarrow as pa
-
-        totals = {i: [np.zeros((len(models[i]),) * 2), np.zeros(len(models[i])), 0.0] for i in now}
-        for b in batches:
-            x, y = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy()
-            for i, t in totals.items():
-                own = x[:, models[i]]
-                eta = np.clip(own @ given[i], -30, 30)
-                p = 1 / (1 + np.exp(-eta))
-                w = p * (1 - p)
-                t[0] += (own * w[:, None]).T @ own
-                t[1] += own.T @ (w * eta + y - p)
-                t[2] += float(2 * np.logaddexp(0, np.where(y > 0, -eta, eta)).sum())
-        for i, (a, v, d) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([[*a.ravel(), *v, d]])], ["model", "sums"])
-
-    for _ in range(iterations):
-        if not open_:
-            break
-        now, given = sorted(open_), {i: beta[i] for i in open_}
-        sums: dict[int, np.ndarray] = {}
-        for r in rows.mapInArrow(passed, "model long, sums array<double>").collect():  # one row a partition and model
-            sums[r["model"]] = sums.get(r["model"], 0) + np.array(r["sums"])
-        for i in now:
-            k, s = len(models[i]), sums[i]
-            if abs(dev[i] - s[-1]) <= tolerance * (abs(s[-1]) + 0.1):
-                open_.discard(i)
-            else:
-                beta[i] = np.linalg.lstsq(s[: k * k].reshape(k, k), s[k * k : -1], rcond=None)[0]
-            dev[i] = s[-1]
-    return list(zip(beta, dev, strict=True)) if width else []
-
-
 def stepwise_glm(train: DataFrame, columns: list[str], label: str = "label") -> tuple[list[str], float]:
     """Backward selection of a binomial model by the Bayesian information criterion: what is left, and its value.
 
@@ -341,10 +306,10 @@ def stepwise_glm(train: DataFrame, columns: list[str], label: str = "label") ->
     rows = one.filter(F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull()).persist()
     try:
         n, left = rows.count(), list(range(1, len(columns) + 1))
-        beta, deviance = _binomial_fits(rows, [[0, *left]], [[0.0] * (len(left) + 1)])[0]
+        beta, deviance = logistic.binomial_fits(rows, [[0, *left]], [[0.0] * (len(left) + 1)])[0]
         best = deviance + log(n) * (len(left) + 1)
         while len(left) > 1:
-            fits = _binomial_fits(rows, [[0, *[c for c in left if c != x]] for x in left], [[b for i, b in enumerate(beta) if i != at + 1] for at in range(len(left))])
+            fits = logistic.binomial_fits(rows, [[0, *[c for c in left if c != x]] for x in left], [[b for i, b in enumerate(beta) if i != at + 1] for at in range(len(left))])
             value, at = min((d + log(n) * len(left), at) for at, (_, d) in enumerate(fits))
             if value >= best:
                 break

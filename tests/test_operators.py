@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.operators import evaluate, models, relational, stats, vectors
+from quillmatch.operators import evaluate, logistic, models, relational, stats, vectors
 
 
 def rows(df):
@@ -302,3 +302,43 @@ def test_frequent_terms_are_split(spark, monkeypatch):
     assert key(split) == whole
     monkeypatch.setattr(vectors, "HOT", 2)  # even the frequent ones are many: they are salted
     assert key(vectors.tfidf(docs, "id", "t", 1, 1)) == whole
+
+
+def fold_rows(spark, n=400, d=5, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * [1, 3, 0.1, 1, 0] + [0, 5, 0, 0, 2]
+    y = (x @ [1.0, -0.4, 3.0, 0, 0] + 2 + rng.logistic(size=n) > 0).astype(int)
+    rows = [(i, *map(float, r), int(t), 1.0 + i % 3) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    names = [f"c{j}" for j in range(d)]
+    return spark.createDataFrame(rows, "vec_id long, " + ", ".join(f"{c} double" for c in names) + ", label int, weight double").repartition(5, "vec_id"), names
+
+
+def test_penalised_fits_are_sparks(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df, names = fold_rows(spark)
+    rows = df.select(F.array(*names).alias("x"), F.col("label").cast("double").alias("y"), F.col("weight").alias("w"), F.array((F.col("vec_id") % 4).cast("int")).alias("folds"))
+    points = [logistic.Point(m, p, 0, f) for m, p, f in ((0.0, 0.1, None), (1.0, 0.05, None), (0.5, 0.001, 2), (0.3, 0.3, 0), (1.0, 10.0, None))]
+    beta = logistic.fits(rows, points)
+    v = models.assembled(df, names)
+    for b, p in zip(beta, points, strict=True):
+        seen = v if p.fold is None else v.filter(F.col("vec_id") % 4 != p.fold)
+        theirs = LogisticRegression(elasticNetParam=p.mix, regParam=p.penalty, maxIter=500, tol=1e-12, weightCol="weight").fit(seen)
+        assert b[0] == pytest.approx(theirs.intercept, abs=1e-4) and b[1:] == pytest.approx(theirs.coefficients.toArray(), abs=1e-4), p
+    right = logistic.held_out_accuracy(rows, points[2:4], beta[2:4])
+    for r, p, b in zip(right, points[2:4], beta[2:4], strict=True):
+        own = [(row["x"], row["y"]) for row in rows.collect() if row["folds"][0] == p.fold]
+        assert r == pytest.approx(np.mean([(np.dot(x, b[1:]) + b[0] > 0) == (y > 0.5) for x, y in own]))
+
+
+def test_sums_reach_the_driver_once_a_model(spark):
+    """Whatever the number of tasks: what is collected is a row a model."""
+    rows = spark.range(0, 1000, 1, 50).select((F.col("id") % 3).alias("model"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("sums"))
+    got = logistic.summed(rows)
+    assert {m: v.tolist() for m, v in got.items()} == {m: [len(range(m, 1000, 3)), sum(range(m, 1000, 3))] for m in range(3)}
+
+
+def test_elastic_net_takes_the_point_that_does_best(spark):
+    df, names = fold_rows(spark, 300)
+    model, mix, penalty = models.elastic_net(df, names, mixes=[0.0, 1.0, 7.0], penalties=[0.01, 100.0], folds=3, repeats=2)
+    assert penalty == 0.01 and mix in (0.0, 1.0) and model.getRegParam() == 0.01
