@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -174,18 +174,31 @@ def kernel_search(train: DataFrame, columns: list[str], grid: dict[str, list] =
     return best
 
 
-def search_refit_predict(train: DataFrame, test: DataFrame, points: dict[str, list[dict]], key: str, label: str = "label", folds: int = 2) -> tuple[dict, DataFrame]:
+def search_refit_predict(train: DataFrame, test: DataFrame, points: dict[str, list[dict]], key: str, label: str = "label", folds: int = 2, dev: DataFrame | None = None) -> tuple[dict, DataFrame]:
     """Models by name, each the best of its points over stratified folds and refitted on all of train; and model, key,
-    label, prediction, score of the test rows. An empty list of points: fitted as it is. Both tables: features, label."""
+    label, prediction, score of the test rows. An empty list of points: fitted as it is. All tables: features, label.
+
+    dev: rows that no search sees. Each best model is scored on them first (rows with part 'dev' beside 'test'), and
+    then refitted on train and dev.
+    """
     dealt = stratified_folds(with_weights(train, label), label, key, folds)
+    whole = None if dev is None else with_weights(train.select(key, label, "features").unionByName(dev.select(key, label, "features")), label)
     made, told = {}, None
+
+    def judged(model, rows: DataFrame, part: str) -> DataFrame:
+        out = model.transform(rows)
+        score = vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double")
+        return out.select(F.lit(name).alias("model"), key, label, "prediction", score.alias("score"), *([] if dev is None else [F.lit(part).alias("part")]))
+
     for name, each in points.items():
         estimator = classifiers()[name]
         made[name] = grid_search(dealt, estimator, each, folds=folds).bestModel if each else estimator.fit(dealt)
-        out = made[name].transform(test)
-        score = vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double")
-        out = out.select(F.lit(name).alias("model"), key, label, "prediction", score.alias("score"))
-        told = out if told is None else told.unionByName(out)
+        parts = []
+        if dev is not None:
+            parts.append(judged(made[name], dev, "dev"))
+            made[name] = estimator.copy({p: made[name].getOrDefault(p.name) for p in (getattr(estimator, k) for k in (each[0] if each else {}))}).fit(whole)
+        for out in [*parts, judged(made[name], test, "test")]:
+            told = out if told is None else told.unionByName(out)
     return made, told
 
 
@@ -247,6 +260,12 @@ def finer(value: float, multiplier: int = 3) -> list[float]:
     return sorted([*(value * i / multiplier for i in range(1, multiplier)), *(value * i for i in range(1, multiplier + 1))])
 
 
+def finer_values(value: Column, multiplier: int = 3) -> Column:
+    """finer() of a column, as an array."""
+    v = value.cast("double")
+    return F.array(*[v * i / multiplier for i in range(1, multiplier)], *[v * i for i in range(1, multiplier + 1)])
+
+
 def coefficients(spark, model, columns: list[str]) -> DataFrame:
     """feature, coefficient, importance of a logistic model, joined by feature; the intercept has no importance and goes."""
     values = [float(x) for x in model.coefficients.toArray()]

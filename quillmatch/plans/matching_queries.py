@@ -257,17 +257,20 @@ def equal_columns(t):
     return t.labels.agg(F.count("*").alias("n"), equal.alias("equal"), F.round(equal / F.count("*"), 6).alias("share"))
 
 
-@query("SELECT mix, penalty FROM (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS mix), (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS penalty)")
+@query("""SELECT quality AS label, mix, penalty, round(penalty * w, 9) AS weighed FROM (SELECT quality, (SELECT count(*) FROM labels) / (2 * count(*)) AS w FROM labels GROUP BY quality),
+(SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS mix), (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS penalty)""")
 def parameter_grid(t):
-    """The first elastic-net grid as it stands, before mixes are held to 0 .. 1."""
+    """The first elastic-net grid as it stands, before mixes are held to 0 .. 1, for each class with its weight."""
     powers = F.transform(F.sequence(F.lit(models.EXPONENTS[0]), F.lit(models.EXPONENTS[-1])), lambda i: F.pow(F.lit(10.0), i))
-    return t._spark.range(1).select(F.explode(powers).alias("mix"), powers.alias("p")).select("mix", F.explode("p").alias("penalty"))
+    grid = models.class_weights(t.labels.select(F.col("quality").alias("label"))).select("label", "weight", F.explode(powers).alias("mix"), powers.alias("p"))
+    return grid.select("label", "mix", F.explode("p").alias("penalty"), "weight").select("label", "mix", "penalty", F.round(F.col("penalty") * F.col("weight"), 9).alias("weighed"))
 
 
-@query("SELECT v AS value, unnest([v / 3, 2 * v / 3, v, 2 * v, 3 * v]) AS finer FROM (SELECT power(10.0, unnest(range(-3, 4)))::DOUBLE AS v)")
+@query("SELECT DISTINCT p_size AS value, round(unnest([p_size / 3, 2 * p_size / 3, p_size, 2 * p_size, 3 * p_size]), 9)::DOUBLE AS finer FROM part")
 def refined_grid(t):
-    values = [10.0**i for i in models.EXPONENTS]
-    return t._spark.createDataFrame([(v, x) for v in values for x in models.finer(v)], "value double, finer double")
+    """A finer grid around every size of part."""
+    sizes = t.part.select(F.col("p_size").alias("value")).distinct()
+    return sizes.select("value", F.explode(models.finer_values(F.col("value"))).alias("finer")).withColumn("finer", F.round("finer", 9))
 
 
 TFIDF3 = TFIDF.replace("x AS (SELECT doc_id, unnest(ws) AS term FROM t)", """x AS (SELECT doc_id, unnest(ws) AS term FROM t

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import text
 from quillmatch.operators import evaluate, models, relational, stats
+from quillmatch.plans import matching
 from quillmatch.plans.catalog import query
 from quillmatch.sources import writers
 from quillmatch.sources.scratch import scratch
@@ -154,9 +155,13 @@ def semi_join_ids(t):
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA'")
 def left_join_category(t):
-    region = t.region.filter("r_name <> 'ASIA'")
-    s = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return s.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
+    """Nations stand for clusters, and their regions for the clusters of these."""
+    clusters = lambda df, key, name, values: df.select(F.col(key).alias("cluster_id"), F.col(name).alias("category"), F.col(values).alias("id_values"))
+    offers = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("cluster_id"))
+    s = matching.with_categories(offers, clusters(t.nation, "n_nationkey", "n_name", "n_regionkey"))
+    s = s.select("s_suppkey", F.col("category").alias("n_name"), F.col("id_values").alias("cluster_id"))
+    region = clusters(t.region.filter("r_name <> 'ASIA'"), "r_regionkey", "r_name", "r_name")
+    return matching.with_categories(s, region).select("s_suppkey", "n_name", F.col("category").alias("r_name"))
 
 
 @query("""WITH a AS (SELECT l_suppkey, l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY ALL)
@@ -299,10 +304,12 @@ def gaussian_nb_sql(t):
 AXES = {"svc": "4 2 2", "rf": "2 2 2 2 2", "gbt": "2 2 2 2 2 2", "rf fine": "2 2 2 2 2 2 3", "gbt fine": "2 2 2 2 2 2 2 3 2 2 3"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS model, CAST(list_product([{', '.join(v.split())}]) AS INTEGER) AS fits" for k, v in AXES.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS model, CAST(list_product([{', '.join(v.split())}]) AS INTEGER) AS fits, CAST(list_product([{', '.join(v.split()[:-1])}]) * {int(v.split()[-1]) - 1} * (SELECT count(*) FROM labels) AS BIGINT) AS rows" for k, v in AXES.items()))
 def grid_size(t):
-    rows = [(k, models.grid_size(g, models.FOLDS[k])) for k, g in models.GRIDS.items()]
-    return t._spark.createDataFrame(rows, "model string, fits int")
+    """Fits of each search, and the rows that all of them read of these labels: each fit all folds but one."""
+    rows = [(k, models.grid_size(g, models.FOLDS[k]), len(models.grid_rows(g)) * (models.FOLDS[k] - 1)) for k, g in models.GRIDS.items()]
+    n = t.labels.agg(F.count("*").alias("n"))
+    return t._spark.createDataFrame(rows, "model string, fits int, times long").crossJoin(F.broadcast(n)).select("model", "fits", (F.col("times") * F.col("n")).alias("rows"))
 
 
 def _split(t):
@@ -377,15 +384,17 @@ def rf_grid_search(t):
 
 @query()
 def search_refit_test(t):
-    """Search on the train part, refit, and the test part's predictions, through the files that results are kept in."""
+    """Search on the train part, scores on the dev part, refit on both, and the test part's predictions, through the
+    files that results are kept in."""
     v = models.assembled(vectors_of(t), COLUMNS).select("vec_id", "label", "features")
     train, test = models.random_split(v, "vec_id", 70, 3)
+    train, dev = models.random_split(train, "vec_id", 80, 7)
     points = {"nb": [], "rf": models.spark_points(models.GRIDS["rf"] | {"trees": [500]}, TREES)}
-    made, told = models.search_refit_predict(train, test, points, "vec_id")
+    made, told = models.search_refit_predict(train, test, points, "vec_id", dev=dev)
     path = scratch(t._spark, "results")
     writers.write_results(made, told, path)
     again, predictions, _ = writers.read_results(t._spark, path)
-    return predictions.select("model", "vec_id", "label", "prediction", "score")
+    return predictions.select("model", "part", "vec_id", "label", "prediction", "score")
 
 
 @query()
@@ -475,6 +484,6 @@ def glm_stepwise(t):
     return t._spark.createDataFrame([(c, bic) for c in left], "feature string, bic double")
 
 
-@query("SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 1")
+@query("SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings")
 def running_number(t):
-    return relational.numbered(t.embeddings.filter("label = 1").select("vec_id", "label"), ["label"], "vec_id").select("vec_id", "n")
+    return relational.numbered(t.embeddings.select("vec_id", "label"), ["label"], "vec_id").select("vec_id", "n")

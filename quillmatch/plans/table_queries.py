@@ -12,14 +12,14 @@ from quillmatch.sources import readers, writers
 from quillmatch.sources.scratch import scratch
 
 
-def named_file(df, folder, name):
-    """df's one text column as one file of this name."""
-    df.coalesce(1).write.text(f"{folder}.{name}.made")
+def named_files(df, folder, name):
+    """df's one text column as files name-0.txt, name-1.txt, ..., one for each task."""
+    df.write.text(f"{folder}.{name}.made")
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    made = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}.{name}.made/part-*"))
-    fs.rename(made[0].getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    for i, made in enumerate(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}.{name}.made/part-*"))):
+        fs.rename(made.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{i}.txt"))
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS offer_id_1, '"' || p_name AS offer_id_2, p_size % 2 AS label, CASE WHEN p_size % 3 = 0 THEN 'gs_shoes.txt' ELSE 'cameras_train.txt' END AS filename,
@@ -27,9 +27,9 @@ CASE WHEN p_size % 3 = 0 THEN 'test' ELSE 'train' END AS dataset, CASE WHEN p_si
 def pair_files(t):
     folder = scratch(t._spark, "pairs")
     line = F.concat(F.col("p_partkey"), F.lit('#####"'), F.col("p_name"), F.lit("#####"), F.col("p_size") % 2).alias("value")
-    named_file(t.part.filter("p_size % 3 = 0").select(line), folder, "gs_shoes.txt")
-    named_file(t.part.filter("p_size % 3 <> 0").select(line), folder, "cameras_train.txt")
-    return readers.read_pairs(t._spark, folder).withColumn("label", F.col("label").cast("int"))
+    named_files(t.part.filter("p_size % 3 = 0").select(line), folder, "gs_shoes")
+    named_files(t.part.filter("p_size % 3 <> 0").select(line), folder, "cameras_train")
+    return readers.read_pairs(t._spark, folder).withColumns({"label": F.col("label").cast("int"), "filename": F.regexp_replace("filename", r"-\d+", "")})
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part")
@@ -50,8 +50,7 @@ def csv_with_key(t):
 def json_by_line(t):
     whole = F.to_json(F.struct("s_suppkey", "s_name"))
     lines = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 5 > 0, whole).otherwise("{broken").alias("value"))
-    parsed = lines.select("s_suppkey", F.from_json("value", "s_name string").alias("r"))
-    return parsed.select("s_suppkey", "r.s_name")
+    return readers.parse_lines(lines, "s_name string", keep=["s_suppkey"])
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -79,10 +78,16 @@ def clusters_of_interest(t):
     return readers.read_clusters(t._spark, folder, ["Shoes", "Jewelry"])
 
 
-@query("SELECT '/a/results/features-9-results' AS path, contains('x', 'x') AS html")
+@query("""SELECT 'nation' AS "table", '/a/results/nation-' || count(*) || '-results' AS path, least(count(*), 10) AS cells, min(n_name) AS first FROM nation
+UNION ALL SELECT 'region', '/a/results/region-' || count(*) || '-results', least(count(*), 10), min(r_name) FROM region""")
 def named_results(t):
-    shown = writers.html_table(t.nation.select("n_name"), 3)
-    return t._spark.createDataFrame([(writers.results_path("/a/features-9.csv"), shown.count("<td>") == 3 and "<table" in shown)], "path string, html boolean")
+    """Where results of a table go, named after it and its rows, and what a rendering of its first ten rows shows."""
+    told = []
+    for name, column in (("nation", "n_name"), ("region", "r_name")):
+        df = getattr(t, name).select(column)
+        shown = writers.html_table(df.orderBy(column), 10).split("<td>")[1:]
+        told.append((name, writers.results_path(f"/a/{name}-{df.count()}.csv"), len(shown), shown[0].split("</td>")[0]))
+    return t._spark.createDataFrame(told, "`table` string, path string, cells long, first string")
 
 
 @query("SELECT n_nationkey AS key_1, n_name AS name_1, n_regionkey AS n_regionkey FROM nation")
@@ -96,9 +101,9 @@ def prefixed_names(t):
     return relational.prefixed(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "l_", keep=("n_regionkey",))
 
 
-@query("SELECT l_returnflag AS label, l_orderkey, l_tax FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_returnflag AS label, l_orderkey, l_tax FROM lineitem")
 def label_first(t):
-    rows = t.lineitem.filter("l_linenumber = 1").select("l_tax", "l_orderkey", F.col("l_returnflag").alias("label"))
+    rows = t.lineitem.select("l_tax", "l_orderkey", F.col("l_returnflag").alias("label"))
     return relational.sort_columns(rows)
 
 
@@ -156,9 +161,9 @@ def null_words(t):
     return jsonflat.flatten(t.documents.select("doc_id", array.alias("a")), "a", ["source"])
 
 
-@query("SELECT 3 AS n")
+@query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3")
 def first_rows(t):
-    return t.part.limit(3).agg(F.count("*").cast("int").alias("n"))
+    return t.part.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(3)
 
 
 @query("SELECT k, round(share, 6) AS share, round(sum(share) OVER (ORDER BY k), 6) AS cumulative, sum(share) OVER (ORDER BY k) <= 0.999 AS kept FROM (SELECT n_nationkey AS k, (n_nationkey + 1) / (SELECT sum(n_nationkey + 1) FROM nation) AS share FROM nation)")

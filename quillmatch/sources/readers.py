@@ -51,9 +51,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Rows of text lines that each hold a JSON object; broken lines give nulls."""
-    return lines.select(F.from_json(column, schema).alias("r")).select("r.*")
+def parse_lines(lines: DataFrame, schema: str, column: str = "value", keep: list[str] = ()) -> DataFrame:
+    """Rows of text lines that each hold a JSON object, after the columns to keep; broken lines give nulls."""
+    return lines.select(*keep, F.from_json(column, schema).alias("__r")).select(*keep, "__r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below a folder of this application, which is deleted when the application ends, well or not."""
+    """A fresh path below a folder of this application, which is deleted when its driver exits; one that is killed leaves it."""
     root = f"{shared_dir(spark)}/quillmatch-{spark.sparkContext.applicationId}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

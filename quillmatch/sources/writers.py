@@ -35,10 +35,11 @@ def load_models(spark: SparkSession, path: str, names: list[str]) -> dict:
 
 
 def write_results(models: dict, predictions: DataFrame, path: str) -> None:
-    """Models, predictions (model, key, label, prediction, score) and each model's confusion matrix, below one folder."""
+    """Models, predictions (model, key, label, prediction, score; part) and each model's confusion matrix (of part test, if there are parts), below one folder."""
     save_models(models, f"{path}/models")
     write_table(predictions, f"{path}/predictions", ["model"])
-    counts = predictions.filter("label IS NOT NULL").groupBy("model", "label").agg(F.count_if(F.col("prediction") == 0).alias("predicted_0"), F.count_if(F.col("prediction") == 1).alias("predicted_1"))
+    tested = predictions.filter("part = 'test'") if "part" in predictions.columns else predictions
+    counts = tested.filter("label IS NOT NULL").groupBy("model", "label").agg(F.count_if(F.col("prediction") == 0).alias("predicted_0"), F.count_if(F.col("prediction") == 1).alias("predicted_1"))
     write_table(counts, f"{path}/confusion")
 
 
