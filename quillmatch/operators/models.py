@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 from math import log
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -208,10 +208,36 @@ def fit_predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1]) if "probability" in out.columns else out
 
 
-def boosted_with_stop(train: DataFrame, validation: DataFrame, max_iter: int = 100, tolerance: float = 0.001, seed: int = 0):
-    """Gradient boosting that stops when validation rows no longer gain."""
-    both = train.withColumn("__v", F.lit(False)).unionByName(validation.withColumn("__v", F.lit(True)))
-    return GBTClassifier(maxIter=max_iter, validationIndicatorCol="__v", validationTol=tolerance, seed=seed).fit(both)
+def stopping_round(losses: list[float], patience: int = 30, tolerance: float = 1e-4) -> int:
+    """How many rounds are kept: up to the first whose loss is not below one of the `patience` before it by the tolerance."""
+    for i in range(patience, len(losses)):
+        if not any(losses[i] + tolerance < x for x in losses[i - patience : i]):
+            return i + 1
+    return len(losses)
+
+
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model of the first n trees."""
+    from pyspark import SparkContext
+
+    sc, own = SparkContext._active_spark_context, model._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = own.trees()[i], float(own.treeWeights()[i])
+    made = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), own.numClasses())
+    return GBTClassificationModel(own.copyValues(made, own.extractParamMap()))
+
+
+def boosted_with_stop(train: DataFrame, validation: DataFrame, max_iter: int = 100, patience: int = 30, tolerance: float = 1e-4, seed: int = 0, **parameters) -> GBTClassificationModel:
+    """Gradient boosting whose rounds end once validation rows have not gained for `patience` of them."""
+    model = GBTClassifier(maxIter=max_iter, seed=seed, **parameters).fit(train)
+    held = validation.persist()  # the loss is told round by round
+    try:
+        losses = model.evaluateEachIteration(held)
+    finally:
+        held.unpersist()
+    return first_rounds(model, stopping_round(losses, patience, tolerance))
 
 
 def importances(model, columns: list[str]) -> list[tuple[str, float]]:

@@ -377,9 +377,19 @@ TREES = 0.02
 
 @query()
 def rf_grid_search(t):
-    v = models.stratified_folds(models.assembled(vectors_of(t), COLUMNS), "label", "vec_id", models.FOLDS["rf"])
+    """The search on the train part, and the test part's predictions."""
+    train, test = models.random_split(models.assembled(vectors_of(t), COLUMNS), "vec_id", 70, 3)
+    v = models.stratified_folds(train, "label", "vec_id", models.FOLDS["rf"])
     model = models.grid_search(v, models.classifiers(weight=None)["rf"], models.spark_points(models.GRIDS["rf"], TREES), folds=models.FOLDS["rf"])
-    return model.transform(v).select("vec_id", "label", "prediction")
+    return model.transform(test).select("vec_id", "label", "prediction")
+
+
+@query()
+def svc_search(t):
+    """The kernel machine's search over all costs and widths on the train part, and the test part's predictions."""
+    train, test = models.random_split(models.with_weights(vectors_of(t)), "vec_id", 70, 3)
+    gamma, made = models.kernel_search(models.stratified_folds(train, "label", "vec_id", models.FOLDS["svc"]), COLUMNS)
+    return made.transform(models.fourier_features(test, COLUMNS, gamma)).select("vec_id", "label", "prediction")
 
 
 @query()
@@ -401,7 +411,7 @@ def search_refit_test(t):
 def gbt_early_stop(t):
     train, test = _split(t)
     fit_on, watch = models.random_split(train, "vec_id", 80, 5)
-    model = models.boosted_with_stop(fit_on, watch, max_iter=30)
+    model = models.boosted_with_stop(fit_on, watch, max_iter=60, patience=30, maxDepth=4)
     return model.transform(test).select("vec_id", "label", "prediction")
 
 

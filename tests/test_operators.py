@@ -342,3 +342,30 @@ def test_elastic_net_takes_the_point_that_does_best(spark):
     df, names = fold_rows(spark, 300)
     model, mix, penalty = models.elastic_net(df, names, mixes=[0.0, 1.0, 7.0], penalties=[0.01, 100.0], folds=3, repeats=2)
     assert penalty == 0.01 and mix in (0.0, 1.0) and model.getRegParam() == 0.01
+
+
+def test_boosting_stops_with_patience(spark):
+    assert models.stopping_round([5, 4, 3, 3, 3, 3], 2, 0.1) == 5 and models.stopping_round([3, 2, 1], 5) == 3 and models.stopping_round([1, 2, 3], 1) == 2
+    df, names = fold_rows(spark, 300)
+    v = models.assembled(df, names)
+    train, watch = models.random_split(v, "vec_id", 70, 1)
+    whole = models.GBTClassifier(maxIter=12, maxDepth=2, seed=0).fit(train)
+    losses = whole.evaluateEachIteration(watch)
+    model = models.boosted_with_stop(train, watch, 12, patience=2, tolerance=0.01, maxDepth=2)
+    n = models.stopping_round(losses, 2, 0.01)
+    assert model.getNumTrees == n < 12 and model.numFeatures == len(names)
+    assert model.evaluateEachIteration(watch) == pytest.approx(losses[:n])
+    assert model.transform(watch).select("prediction").count() == watch.count() and models.importances(model, names)
+
+
+def test_dev_rows_are_scored_before_the_refit(spark):
+    df, names = fold_rows(spark, 300)
+    v = models.assembled(df, names).select("vec_id", "label", "features")
+    train, test = models.random_split(v, "vec_id", 70, 1)
+    train, dev = models.random_split(train, "vec_id", 80, 2)
+    made, told = models.search_refit_predict(train, test, {"nb": [], "rf": [{"numTrees": 3, "maxDepth": d} for d in (1, 4)]}, "vec_id", dev=dev)
+    counts = {(r["model"], r["part"]): r["count"] for r in told.groupBy("model", "part").count().collect()}
+    assert counts == {(m, p): n for m in ("nb", "rf") for p, n in (("dev", dev.count()), ("test", test.count()))}
+    both = models.with_weights(train.unionByName(dev))
+    again = models.classifiers()["nb"].fit(both).transform(test)
+    assert sorted(map(tuple, again.select("vec_id", "prediction").collect())) == sorted(map(tuple, told.filter("model = 'nb' AND part = 'test'").select("vec_id", "prediction").collect()))
