@@ -7,8 +7,8 @@ length times that of what the candidate has in later segments. A query's floor i
 reached. A query stops only when few candidates can still reach its floor; the segments left are skipped and these
 candidates are rescored exactly. The last segment completes all scores, so a query that never stops is exact as well.
 
-A segment's postings are added for all queries at once, by one product with a panel that holds them and zeros: of a
-quarter of all postings a matrix product takes 0.6 ns each and query, additions by list took 10.
+Only postings are touched: a segment's lists, one for each dimension and some hundred candidates, are added for all
+queries at once, so that the scores they add to stay in a core's cache.
 
 Over blocks, candidates are searched in rounds that grow eightfold. A round's floors are the k-th scores of all rounds
 before, so a block reports only what may still enter a result: some 8 k rows a query and round, however many blocks.
@@ -27,6 +27,9 @@ from quillmatch.llm.common import drop_table, written
 #: Rows of a block of candidates, which is also the first round, and of a block of queries; growth of the rounds.
 CANDIDATES, QUERIES, GROWTH = 16_384, 256, 8
 
+#: Candidates whose postings of a dimension are one list.
+LISTED = 512
+
 #: Queries of up to so many bytes stay in a task's memory; more are read anew for each block of candidates.
 HELD = 64 << 20
 
@@ -55,8 +58,11 @@ class Index:
         for edge in edges_of(impact):
             inside = impact >= edge if above is None else (impact >= edge) & (impact < above)
             rows, dims = np.nonzero(inside)
+            lists = rows // LISTED * vectors.shape[1] + dims
+            order = np.argsort(lists, kind="stable")
+            numbers, starts = np.unique(lists[order], return_index=True)
             rest = np.sqrt(np.where(impact < edge, square, 0).sum(axis=1))
-            self.segments.append((rows.astype(np.int32), dims.astype(np.int32), vectors[rows, dims], rest))
+            self.segments.append((rows[order], vectors[rows, dims][order], numbers % max(1, vectors.shape[1]), [*starts.tolist(), len(rows)], rest))
             above = edge
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, floors: np.ndarray | None = None, few: float = 0.1):
@@ -90,10 +96,10 @@ class Index:
         v, q = self.v.astype(kind), queries.astype(kind)
         long = np.linalg.norm(queries.astype(float), axis=1)
         acc, alive, seen = np.zeros((n, len(q)), kind), np.arange(len(q)), 0
-        for rows, dims, values, rest in self.segments:
-            panel = np.zeros(v.shape, kind)
-            panel[rows, dims] = values
-            acc += panel @ q[alive].T
+        for rows, values, dims, starts, rest in self.segments:
+            impacts, by_dim = values.astype(kind)[:, None], np.ascontiguousarray(q[alive].T)
+            for d, lo, hi in zip(dims, starts, starts[1:], strict=False):
+                acc[rows[lo:hi]] += impacts[lo:hi] * by_dim[d]
             seen += len(rows)
             self.visited += len(rows) * len(alive)
             if 3 * seen < self.postings or not rest.any() or n <= 4 * k:
@@ -112,7 +118,7 @@ class Index:
             for j in np.flatnonzero(stop):
                 rows = np.flatnonzero(members[j])
                 yield best(alive[j], rows, v[rows] @ q[alive[j]])
-            acc, alive = acc[:, ~stop], alive[~stop]
+            acc, alive = np.ascontiguousarray(acc[:, ~stop]), alive[~stop]
             if not len(alive):
                 return
         for j, i in enumerate(alive):
