@@ -72,9 +72,11 @@ def test_svd_keeps_inner_products(spark):
     assert vectors.components_to_keep([0.5, 0.4, 0.0995, 0.0005]) == 2
 
 
-def test_svd_takes_every_term_and_document(spark):
-    import numpy as np
-
+@pytest.mark.parametrize("held", [vectors.HELD, 0])
+def test_svd_takes_every_term_and_document(spark, held, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD", held)
+    monkeypatch.setattr(vectors, "POSTINGS", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
     rng = random.Random(4)
     texts = [" ".join(f"t{min(int(rng.expovariate(0.01)), 5999)}x{rng.randint(0, 40)}" for _ in range(60)) + " all" for _ in range(150)] + [None]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
