@@ -147,13 +147,14 @@ def test_groups_of_nothing(spark):
 
 
 @pytest.mark.parametrize("broadcast", [10_000, 0])
-def test_hot_keys_are_joined_apart(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_IDS", broadcast)
-    monkeypatch.setattr(common, "HOT", 10)
+def test_hot_keys_are_joined_apart(spark, broadcast):
     rows = spark.createDataFrame([(i, 0 if i % 2 else i % 30, i % 7) for i in range(400)], "i long, f long, g long")
     of = rows.filter("f <> 4").groupBy("f", "g").agg(F.count("*").alias("n"), F.max("i").alias("m"))
-    got = common.joined_by_hot_keys(rows, of, ["f", "g"])
+    got = common.joined_by_hot_keys(rows, of, ["f", "g"], hot=10, most=broadcast)
     assert got.columns == ["i", "f", "g", "m"]
+    clashing = rows.withColumns({"__f": F.lit("x"), "__m": F.col("i"), "__large": F.lit(None), "__part": F.lit(1)})
+    more = common.joined_by_hot_keys(clashing, of, ["f", "g"], hot=10, most=broadcast)
+    assert more.columns == [*clashing.columns, "m"] and more.filter("`__m` <> i OR `__f` <> 'x'").isEmpty() and more.count() == 400
     plain = rows.join(of.drop("n"), ["f", "g"], "left").select("i", "f", "g", "m")
     assert sorted([tuple(r) for r in got.collect()]) == sorted([tuple(r) for r in plain.collect()], key=lambda r: r[:3])
 
