@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,7 +49,6 @@ def _regions(w: str) -> tuple[int, int]:
     return r1, m.end() if m else len(w)
 
 
-@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """The stem of one lower-case word."""
     if len(word) <= 2:
@@ -135,12 +133,31 @@ def stem(word: str) -> str:
     return w.lower()
 
 
+class _Stems(dict):
+    """What stands for each word that was met: its stem, or None for a stop word. Forgets all beyond MET words."""
+
+    MET = 200_000
+
+    def __init__(self, stop: frozenset[str]):
+        self.stop = stop
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= self.MET:
+            self.clear()
+        parts = [stem(w) for w in MERGED.get(word, (word,)) if w not in self.stop]
+        self[word] = found = " ".join(parts) if parts else None
+        return found
+
+
+_STEMS: dict[frozenset[str], _Stems] = {}
+
+
 def stem_text(text: str | None, stop: frozenset[str] = frozenset(STOP_WORDS)) -> str | None:
-    """Stems of the words that are no stop words, joined by a space; null stays null."""
+    """Stems of the words that are no stop words, joined by a space; null stays null. A process stems a word once."""
     if text is None:
         return None
-    words = (part for w in text.split() for part in MERGED.get(w, (w,)))
-    return " ".join(stem(w) for w in words if w not in stop)
+    known = _STEMS.get(stop) or _STEMS.setdefault(stop, _Stems(stop))
+    return " ".join([s for s in map(known.__getitem__, text.split()) if s is not None])
 
 
 def stemmed(c: Column) -> Column:

@@ -118,6 +118,7 @@ def test_stem(word, expected):
 def test_stem_text(spark):
     assert stem.stem_text("the cats are running and cannot stop") == "cat run stop"
     assert stem.stem_text(None) is None
+    assert stem.stem_text("gonna cannot the  wanna runs") == "gon na wan na run"
     df = spark.createDataFrame([("the cats",), (None,), ("",)], "x string")
     assert [r[0] for r in df.select(stem.stemmed(F.col("x"))).collect()] == ["cat", None, ""]
     assert math.isclose(len(stem.STOP_WORDS), 179, abs_tol=5)
