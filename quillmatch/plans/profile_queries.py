@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text
-from quillmatch.operators import evaluate, models, relational, stats
+from quillmatch.operators import boosting, evaluate, models, relational, stats
 from quillmatch.plans import matching
 from quillmatch.plans.catalog import query
 from quillmatch.sources import writers
@@ -415,6 +415,28 @@ def gbt_early_stop(t):
     return model.transform(test).select("vec_id", "label", "prediction")
 
 
+def _dealt(t):
+    """The train part in the folds of the boosted trees' search, and the test part."""
+    train, test = models.random_split(vectors_of(t), "vec_id", 70, 3)
+    return models.stratified_folds(train, "label", "vec_id", models.FOLDS["gbt"]), test
+
+
+@query()
+def gbt_leaf_wise(t):
+    """Trees of ten leaves, grown best first, until a fold that is not fitted has not gained for 30 rounds."""
+    train, test = _dealt(t)
+    model = boosting.fit(train, COLUMNS, [boosting.Booster(depth=None, leaves=10, rounds=40, patience=30, fold=0)], "vec_id", fold="fold")[0]
+    return model.transform(test).select("vec_id", "label", "prediction", "score")
+
+
+@query()
+def gbt_search(t):
+    """The boosted trees' search over all points and folds, each number of trees a prefix of one fit, and the test part's predictions."""
+    train, test = _dealt(t)
+    _, model, _ = boosting.search(train, COLUMNS, models.grid_rows(models.GRIDS["gbt"]), "vec_id", folds=models.FOLDS["gbt"], share=TREES)
+    return model.transform(test).select("vec_id", "label", "prediction", "score")
+
+
 @query()
 def gbt_importances(t):
     train, _ = _split(t)
