@@ -211,7 +211,7 @@ def _read(b, width: int):
     return bins, *[b.column(c).to_numpy() for c in ("y", "w", "fold", "h")], margins
 
 
-def _passed(rows: DataFrame, width: int, bins: int, models: list[Booster], late: list[list[Tree]], grown: dict[int, tuple[Tree, dict[int, tuple[int, int, np.ndarray]]]], round_: int, judged: set[int]) -> dict[int, list[float]]:
+def _passed(rows: DataFrame, width: int, bins: int, models: list[Booster], late: list[list[Tree]], grown: dict[int, tuple[Tree, dict[int, tuple[int, int, np.ndarray]]]], round_: int, judged: set[int], tasks: int = 2) -> dict[int, list[float]]:
     """key -> what best_split says of each node in grown (model -> its tree so far, node's number there -> (key, rows of a
     leaf, features)); judged: -1 - model -> weight, loss and right weight of its fold."""
 
@@ -268,7 +268,8 @@ def _passed(rows: DataFrame, width: int, bins: int, models: list[Booster], late:
             out = v.tolist() if key < 0 else [float(z) for z in best_split(v.reshape(-1, bins, 4), leaf[key])]
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([out], pa.list_(pa.float64()))], ["key", "v"])
 
-    sums = rows.mapInArrow(told, "key long, sums binary").repartition("key")
+    sums = rows.mapInArrow(told, "key long, sums binary")
+    sums = sums.repartition("key") if tasks > 1 else sums  # a task that has all rows has whole sums
     return {r["key"]: list(r["v"]) for r in sums.mapInArrow(decided, "key long, v array<double>").collect()}
 
 
@@ -310,7 +311,7 @@ def fit(df: DataFrame, columns: list[str], models: list[Booster], key: str, labe
                     g.drawn[n] = _features(width, models[i].features, [seed, round_, n])
                     grown.setdefault(i, (tree, {}))[1][number] = (k, models[i].leaf, g.drawn[n])
                     names[k] = i, n
-                found = _passed(rows, width, bins, models, late, grown, round_, judged)
+                found = _passed(rows, width, bins, models, late, grown, round_, judged, tasks)
                 for i in judged:
                     if -1 - i in found:
                         w, loss, right = found[-1 - i]
