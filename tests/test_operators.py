@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmatch.functions import similarity
 from quillmatch.operators import evaluate, logistic, models, relational, stats, vectors
 
 
@@ -371,3 +372,23 @@ def test_dev_rows_are_scored_before_the_refit(spark):
     both = models.with_weights(train.unionByName(dev))
     again = models.classifiers()["nb"].fit(both).transform(test)
     assert sorted(map(tuple, again.select("vec_id", "prediction").collect())) == sorted(map(tuple, told.filter("model = 'nb' AND part = 'test'").select("vec_id", "prediction").collect()))
+
+
+def test_tiled_pairs_are_all_pairs_in_many_tasks(spark):
+    rows = [(i, "a" if i % 3 else "b", None if i % 7 == 0 else f"n{i % 5}") for i in range(60)] + [(60, None, "x"), (61, None, "x")]
+    df = spark.createDataFrame(rows, "id int, block string, name string").coalesce(1)
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and a[0] < b[0])
+    for tile in (4096, 7):
+        pairs = relational.tiled_pairs(df, "id", ["block"], tile=tile, candidates=100)
+        assert sorted((r.id_1, r.id_2) for r in pairs.collect()) == expected
+        assert pairs.rdd.getNumPartitions() > 4
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    for values in (1000, 3):
+        told = relational.tiled_pairs_with(df, "id", ["block"], "name", same, "same", values)
+        assert sorted((r.id_1, r.id_2, r.same) for r in told.collect()) == [(a, b, rows[a][2] is not None and rows[a][2] == rows[b][2]) for a, b in expected]
+
+
+def test_rounded_is_round(spark):
+    values = [None, float("nan"), float("inf"), 0.0, -1e-9, 1.0000005, 0.1234565, 2.5e-7, 5e-7, 1.5e-6, 1.7976931348623157e308, -0.1234565, 1e13 + 0.1, *[i / 7919 for i in range(-500, 500)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(similarity.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
+    assert df.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
