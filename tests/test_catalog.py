@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from quillmatch.plans.catalog import QUERIES, SQL
+from quillmatch.plans import profile_queries
+from quillmatch.plans.catalog import QUERIES, SQL, Tables
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -42,3 +43,10 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_train_weights_balance_the_train_part(spark):
+    """Priors of the part that is fitted are equal, as nb_predict's SQL has it."""
+    train, _ = profile_queries._split(Tables(spark, FOLDER))
+    a, b = [r[0] for r in train.groupBy("label").agg({"weight": "sum"}).select("sum(weight)").collect()]
+    assert abs(a - b) < 1e-6
