@@ -46,10 +46,18 @@ def fix_description(c: Column) -> Column:
     return F.regexp_replace(c, "^description", "")
 
 
+#: Listed one by one: a class of single characters is looked up in a table, one of ranges is compared range by range.
+_KEPT = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 def clean_text(c: Column) -> Column:
-    """Tags go, lower case, runs of other characters become a space, single ones and language marks go."""
-    steps = [("(?d)<.*?>", ""), (None, None), ("[^a-z0-9 ]{2,}", " "), ("[^a-z0-9 ]", ""), (r"\W(en|enus)\W", "")]
-    return reduce(lambda x, s: F.lower(x) if s[0] is None else F.regexp_replace(x, *s), steps, c)
+    """Tags go, lower case, runs of other characters become a space, single ones and language marks go.
+
+    By the last step only letters, digits and spaces are left, so what stands around a language mark is a space.
+    """
+    tagless = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "(?d)<.*?>", "")).otherwise(c)
+    steps = [(f"[^{_KEPT}][^{_KEPT}]+", " "), (f"[^{_KEPT}]", ""), (" (?:en|enus) ", "")]
+    return reduce(lambda x, s: F.regexp_replace(x, *s), steps, F.lower(tagless))
 
 
 def file_category(c: Column, categories: list[str] = PAIR_CATEGORIES) -> Column:
