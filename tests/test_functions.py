@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.functions import jsonflat, similarity, stem, text
+from quillmatch.functions import jsonflat, planning, similarity, stem, text
 
 
 @pytest.mark.parametrize(
@@ -141,3 +141,17 @@ def test_shredded_json_of_any_depth_and_number_of_keys(spark):
     assert got[7] == {"o_s": "3", "p": "red", "q": ""}
     counts = {r["name"]: r["n"] for r in jsonflat.key_counts(out, ["j"]).collect()}
     assert len(counts) == 1 + 7000 + 2 + 3 and set(counts.values()) == {1}
+
+
+def test_clean_text_is_its_five_steps(spark):
+    from functools import reduce
+
+    texts = [None, "", "a en b", "x -en- y", " EN en enus en ", "a<b>c<d\ne>f", "<<a>>b", "Ünï çode_en_ 12", "it's a b--c..d", "a\n en\u2028enus z", "<\r>x", "one. Two! (three)", "a e'n b", "\t\ten\t\t"]
+    steps = [("(?d)<.*?>", ""), (None, None), ("[^a-z0-9 ]{2,}", " "), ("[^a-z0-9 ]", ""), (r"\W(en|enus)\W", "")]
+    plain = reduce(lambda x, s: F.lower(x) if s[0] is None else F.regexp_replace(x, *s), steps, F.col("t"))
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert df.filter(~text.clean_text(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
+def test_spread_uses_all_cores(spark):
+    assert planning.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= 4
