@@ -392,3 +392,16 @@ def test_rounded_is_round(spark):
     values = [None, float("nan"), float("inf"), 0.0, -1e-9, 1.0000005, 0.1234565, 2.5e-7, 5e-7, 1.5e-6, 1.7976931348623157e308, -0.1234565, 1e13 + 0.1, *[i / 7919 for i in range(-500, 500)]]
     df = spark.createDataFrame([(v,) for v in values], "x double").select(similarity.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
     assert df.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_near_cosines_are_pair_cosines(spark):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(r.randrange(9)))) for i in range(40)], "id int, t string")
+    pairs = spark.createDataFrame([(i, j, None if i == 5 else i % 3) for i in range(40) for j in range(i + 1, 44) if (i + j) % 2], "a int, b int, block int")
+    weights = vectors.tfidf(docs, "id", "t", 1, 2)
+    expected = {(x.a, x.b): x.cosine for x in vectors.pair_cosines(pairs, weights, ["a"], ["b"], ["id"]).collect()}
+    own = {x.id for x in weights.select("id").distinct().collect()}
+    for tile in (512, 4):
+        near = vectors.near_cosines(pairs, vectors.weight_lists(weights, ["id"]), ["a"], ["b"], ["id"], ["block"], tile)
+        got = near.collect()
+        assert len(got) == pairs.count() and all(abs(x.cosine - expected[x.a, x.b]) < 1e-9 and (x.has_1, x.has_2) == (x.a in own, x.b in own) for x in got)
