@@ -292,6 +292,30 @@ def test_terms_are_numbers_with_a_dictionary(spark):
     assert set(df.values()) == {1} and "red" not in df and len(df) == 8
 
 
+def test_terms_of_documents_are_counted_where_texts_lie(spark, monkeypatch):
+    """The numbers are Spark's of gram_ids, for words of any length and script; no n-gram is shuffled or sorted by Spark."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé日ß_0-. İΣ") for _ in range(r.choice([1, 2, 3, 5, 8, 13, 33, 70, 200])))
+    rows = [(i, i % 3, " ".join(word() for _ in range(r.randrange(40)))) for i in range(60)] + [(60, 0, None), (61, 1, ""), (62, 2, "one"), (63, None, "two words")]
+    docs = spark.createDataFrame(rows, "id int, g int, t string").repartition(3)
+    monkeypatch.setattr(vectors, "TEXT", 300)
+    monkeypatch.setattr(vectors, "COUNTED", 100)
+    for low, high in ((1, 1), (1, 3), (2, 3)):
+        words = docs.select("id", "g", vectors.pinned(vectors.tokens(F.col("t"))).alias("ws"))
+        plain = words.select("id", "g", F.explode(vectors.gram_ids(F.col("ws"), low, high)).alias("term")).groupBy("id", "g", "term").agg(F.count("*").alias("tf"))
+        assert sorted(map(tuple, vectors.term_counts(docs, "id", "t", low, high).collect())) == sorted((x.id, x.term, x.tf) for x in plain.collect())
+        by = {(x.g, x.term): x.df for x in vectors.document_frequencies(docs, "t", low, high, ("g",)).collect()}
+        assert by == {(x.g, x.term): x.n for x in plain.groupBy("g", "term").agg(F.count("*").alias("n")).collect()}
+    plan = vectors.tfidf(docs, "id", "t", 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Sort" not in plan
+
+
+def test_texts_of_one_key_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "red cat"), (1, "red"), (2, "cat")], "id int, t string")
+    w = {(x.id, x.term): x.w for x in vectors.tfidf(docs, "id", "t", 1, 1).collect()}
+    assert len(w) == 3 and sorted(w.values())[-1] == pytest.approx(1) and sum(v * v for (i, _), v in w.items() if i == 1) == pytest.approx(1)
+
+
 def test_frequent_terms_are_split(spark, monkeypatch):
     """Zipf's words, more than are broadcast: the weights are those of the broadcast table, and no task holds a frequent word's rows."""
     rng = random.Random(6)
