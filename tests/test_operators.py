@@ -292,6 +292,27 @@ def test_terms_are_numbers_with_a_dictionary(spark):
     assert set(df.values()) == {1} and "red" not in df and len(df) == 8
 
 
+def test_svd_holds_few_columns_of_many_documents(spark, monkeypatch):
+    """Tasks hold some columns of the subspace, no vector of a document whole, and the result is the same."""
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(r.expovariate(0.05))}" for _ in range(20))) for i in range(90)], "id int, t string")
+    w = vectors.tfidf(docs, "id", "t", 1, 1)
+    cuts, turn = [], vectors._turn
+    monkeypatch.setattr(vectors, "_turn", lambda *a: cuts.append(len(a[5])) or turn(*a))
+
+    def products():
+        v, ratios = vectors.truncated_svd(w, "id", components=6, keys=docs, iterations=30)
+        x = np.array([r["v"] for r in v.orderBy("id").collect()])
+        return x @ x.T, ratios
+
+    whole = products()
+    assert set(cuts) == {16}
+    monkeypatch.setattr(vectors, "HELD", 90 * 8 * 5)
+    cuts.clear()
+    some = products()
+    assert max(cuts) <= 5 and np.allclose(whole[0], some[0], atol=1e-6) and some[1] == pytest.approx(whole[1], abs=1e-6)
+
+
 def test_terms_of_documents_are_counted_where_texts_lie(spark, monkeypatch):
     """The numbers are Spark's of gram_ids, for words of any length and script; no n-gram is shuffled or sorted by Spark."""
     r = random.Random(8)
