@@ -132,3 +132,19 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert df.count() == 3 and readers.exists(spark, df.written_to)
     scratch.drop_table(df)
     assert not readers.exists(spark, df.written_to)
+
+
+def test_vectors_go_with_parts_and_pairs_are_not_shuffled(spark):
+    """document_path's rows are those of pairs joined with both offers, and no exchange has a pair."""
+    from quillmatch.plans import matching_queries
+    from quillmatch.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    v = spark.createDataFrame([(f"o{i}", [float(i), i % 7.0]) for i in range(1, 150)], "offer_id string, v array<double>")
+    made = matching_queries.part_offer_pairs(t, v).select("offer_id_1", "offer_id_2", matching.vector_difference())
+    pairs = matching.relational.pair_up(matching_queries.part_offer_pairs(t), v, "offer_id", "offer_id_1", "offer_id_2")
+    key = lambda df: sorted((r["offer_id_1"], r["offer_id_2"], tuple(r["v"])) for r in df.collect())
+    assert key(made) == key(pairs.select("offer_id_1", "offer_id_2", matching.vector_difference())) != []
+    lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in lines[:join])
