@@ -94,3 +94,19 @@ def test_search_by_prefixes(spark):
     one = Booster(rate=0.5, depth=2, leaves=4, rounds=2)
     again = [boosting.fit(df, ["a", "b", "c"], [Booster(**{**one.__dict__, "fold": f})], "id", fold="fold")[0].accuracy[2] for f in range(3)]
     assert scores[points.index({"rate": 0.5, "depth": 2, "leaves": 4, "trees": 2, "warm": True})] == pytest.approx(np.mean(again))
+
+
+def test_small_nodes_are_grown_by_one_task_to_the_same_tree(spark, monkeypatch):
+    df, _, _ = table(spark)
+    ms = [Booster(rounds=2, depth=None, leaves=9, rate=0.5), Booster(rounds=2, depth=4, sample=0.7, features="sqrt", gain=0.001, fold=1)]
+    passes = []
+    run = boosting._passed
+    monkeypatch.setattr(boosting, "_passed", lambda *a: passes.append(len(a[5])) or run(*a))
+    told = {}
+    for small in (0, 90, 1000):  # no node, nodes below the root, all nodes
+        passes.clear()
+        monkeypatch.setattr(boosting, "SMALL", small)
+        made = boosting.fit(df, ["a", "b", "c"], ms, "id", fold="fold")
+        told[small] = [[(t.feature.tolist(), t.bin.tolist(), t.left.tolist(), t.value.round(9).tolist()) for t in m.trees] for m in made], [m.accuracy for m in made]
+        assert small < 1000 or len(passes) == 3 and not any(passes)  # only folds are judged
+    assert told[0] == told[90] == told[1000]
