@@ -110,3 +110,24 @@ def test_small_nodes_are_grown_by_one_task_to_the_same_tree(spark, monkeypatch):
         told[small] = [[(t.feature.tolist(), t.bin.tolist(), t.left.tolist(), t.value.round(9).tolist()) for t in m.trees] for m in made], [m.accuracy for m in made]
         assert small < 1000 or len(passes) == 3 and not any(passes)  # only folds are judged
     assert told[0] == told[90] == told[1000]
+
+
+def test_forests_of_a_search_are_judged_together(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.tuning import CrossValidator
+
+    df, _, _ = table(spark, 400)
+    v = models.assembled(df.fillna(0.0).selectExpr("id", "a", "b", "c", "label", "fold % 2 AS fold"), ["a", "b", "c"])
+    points = [{"numTrees": t, "maxDepth": d, "featureSubsetStrategy": f, "minInstancesPerNode": n} for t in (5, 40) for d in (1, 6) for f in ("sqrt", "all") for n in (1, 30)]
+    fits = []
+    monkeypatch.setattr(CrossValidator, "fit", lambda *a: fits.append(a))
+    told = models.grid_search(v, RandomForestClassifier(seed=1), points, key="id")
+    assert not fits and told.bestModel.getNumTrees == points[int(np.argmax(told.avgMetrics))]["numTrees"]
+    monkeypatch.setattr(models.forests.boosting, "SMALL", 60)  # the tops are made by passes
+    assert models.grid_search(v, RandomForestClassifier(seed=1), points, key="id").avgMetrics == pytest.approx(told.avgMetrics)
+    for i in (12, 14, 15):  # forty trees, all depth 6 or all features: as good as Spark's own
+        own = []
+        for f in (0, 1):
+            made = RandomForestClassifier(seed=1, **points[i]).fit(v.filter(f"fold <> {f}")).transform(v.filter(f"fold = {f}"))
+            own.append(np.mean([r["prediction"] == r["label"] for r in made.collect()]))
+        assert told.avgMetrics[i] == pytest.approx(np.mean(own), abs=0.06)
