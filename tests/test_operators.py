@@ -450,3 +450,17 @@ def test_near_cosines_are_pair_cosines(spark):
         near = vectors.near_cosines(pairs, vectors.weight_lists(weights, ["id"]), ["a"], ["b"], ["id"], ["block"], tile)
         got = near.collect()
         assert len(got) == pairs.count() and all(abs(x.cosine - expected[x.a, x.b]) < 1e-9 and (x.has_1, x.has_2) == (x.a in own, x.b in own) for x in got)
+
+
+def test_fits_read_few_parts_and_cosines_are_those_of_the_formula(spark, monkeypatch):
+    df, names = fold_rows(spark, 200)
+    v = models.stratified_folds(models.fourier_features(df, names, 0.5, 16), "label", "vec_id", 2).repartition(64)
+    parts, fit = [], models.CrossValidator.fit
+    monkeypatch.setattr(models.CrossValidator, "fit", lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    assert len(models.grid_search(v, models.classifiers()["svc"], [{"regParam": 0.1}, {"regParam": 1.0}]).avgMetrics) == 2
+    assert parts == [1]
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(0, 1.0, (16, len(names))), rng.uniform(0, 2 * np.pi, 16)
+    for r in v.limit(9).collect():
+        expected = [sum(u * r[c] for u, c in zip(row, names, strict=True)) + o for row, o in zip(w, b, strict=True)]
+        assert np.allclose(r["features"].toArray(), np.cos(expected) * (2 / 16) ** 0.5)
