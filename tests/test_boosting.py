@@ -131,3 +131,30 @@ def test_forests_of_a_search_are_judged_together(spark, monkeypatch):
             made = RandomForestClassifier(seed=1, **points[i]).fit(v.filter(f"fold <> {f}")).transform(v.filter(f"fold = {f}"))
             own.append(np.mean([r["prediction"] == r["label"] for r in made.collect()]))
         assert told.avgMetrics[i] == pytest.approx(np.mean(own), abs=0.06)
+
+
+def test_the_best_forest_is_grown_without_a_pass_for_each_level(spark, monkeypatch, tmp_path):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from quillmatch.sources import writers
+
+    df, _, _ = table(spark, 400)
+    v = models.assembled(df.fillna(0.0).selectExpr("id", "a", "b", "c", "label", "fold % 2 AS fold"), ["a", "b", "c"])
+    forest, point = RandomForestClassifier(seed=1), {"numTrees": 20, "maxDepth": 30, "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
+    own = forest.copy({getattr(forest, k): x for k, x in point.items()}).fit(v)
+    monkeypatch.setattr(RandomForestClassifier, "fit", None)
+    shares = {}
+    for small in (1 << 15, 60, 0):  # all in tasks, tops by passes, and the whole trees
+        monkeypatch.setattr(models.forests.boosting, "SMALL", small)
+        made = models.grid_search(v, forest, [point], key="id").bestModel
+        shares[small] = {r["id"]: r["probability"][1] for r in made.transform(v).collect()}
+    assert shares[0] == pytest.approx(shares[60]) and shares[0] == pytest.approx(shares[1 << 15])
+    assert np.mean([r["prediction"] == r["label"] for r in made.transform(v).collect()]) > 0.97  # each row is in most trees, and they end in single rows
+    assert np.allclose(made.featureImportances.toArray(), own.featureImportances.toArray(), atol=0.05)
+    writers.save_models({"rf": made}, str(tmp_path))
+    again = writers.load_models(spark, str(tmp_path), ["rf"])["rf"]
+    assert again.getNumTrees == 20 and {r["id"]: r["probability"][1] for r in again.transform(v).collect()} == shares[0]
+    leaf = models.refitted(v, forest, point | {"maxDepth": 0, "numTrees": 500}, "id")
+    assert leaf.transform(v).first()["probability"][1] == pytest.approx(np.mean([r["label"] for r in df.collect()]), abs=0.01)
+    stump = models.refitted(v, forest, point | {"maxDepth": 1}, "id")
+    assert {len(t.feature) for t in stump.trees} == {3}
