@@ -158,3 +158,24 @@ def test_the_best_forest_is_grown_without_a_pass_for_each_level(spark, monkeypat
     assert leaf.transform(v).first()["probability"][1] == pytest.approx(np.mean([r["label"] for r in df.collect()]), abs=0.01)
     stump = models.refitted(v, forest, point | {"maxDepth": 1}, "id")
     assert {len(t.feature) for t in stump.trees} == {3}
+
+
+def test_trees_of_few_leaves_take_few_passes_and_sums_are_the_same_by_feature(spark, monkeypatch):
+    df, _, _ = table(spark)
+    m = Booster(rounds=2, depth=None, leaves=9, rate=0.5, fold=1)
+    passes, told = [], {}
+    run = boosting._passed
+    monkeypatch.setattr(boosting, "_passed", lambda *a: passes.append(len(a[5])) or run(*a))
+    for small, long in ((0, 1 << 40), (75, 1 << 40), (75, 1)):  # the root has 200 rows
+        monkeypatch.setattr(boosting, "SMALL", small)
+        monkeypatch.setattr(boosting, "LONG", long)
+        passes.clear()
+        made = boosting.fit(df, ["a", "b", "c"], [m], "id", fold="fold")[0]
+        told[small, long] = [(t.feature.tolist(), t.bin.tolist(), t.value.round(9).tolist()) for t in made.trees], made.accuracy
+        assert not small or len(passes) == 3 and not any(passes)
+    assert told[0, 1 << 40] == told[75, 1 << 40] == told[75, 1]
+    x, s = np.random.default_rng(1).integers(0, 16, (500, 5)).astype(np.uint8), np.random.default_rng(2).normal(size=(500, 4))
+    monkeypatch.setattr(boosting, "LONG", 1)
+    by_feature = boosting.histogram(x, s, 16)
+    monkeypatch.setattr(boosting, "LONG", 1 << 40)
+    assert (by_feature == boosting.histogram(x, s, 16)).all()
