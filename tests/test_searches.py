@@ -63,3 +63,28 @@ def test_a_forest_s_votes_are_those_of_its_nodes():
     assert np.allclose(forests._told(tree, x, [0, 2, 30]), forests._votes(told, 1, x, m, [0, 2, 30], [0.5] * 3))
     assert gains.sum() == pytest.approx(sum(v[2] for v in told.values() if v[0] >= 0))
     assert (tree.reached(x[times > 0]) < len(tree.feature)).all() and (tree.feature < 0).sum() == (tree.feature >= 0).sum() + 1
+
+
+def test_the_boosted_search_asks_for_every_round_of_the_grid(spark, monkeypatch):
+    args, more = asked(monkeypatch, boosting, "search", profile_queries.gbt_search, spark)
+    assert args[2] == models.grid_rows(models.GRIDS["gbt"]) and "share" not in more
+    fits = []
+
+    def fit(df, columns, ms, *a, **k):
+        fits.append(sorted({m.rounds for m in ms}))
+        return [boosting.Boosted(columns, k["edges"], accuracy=[0.5] * (m.rounds + 1)) for m in ms]
+
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "fit", fit)
+    profile_queries.gbt_search(Tables(spark, "/root/testdata/sf0.001"))
+    assert fits == [[300], [150]]
+
+
+def test_models_that_tasks_fit_alone_are_those_of_shared_passes(spark):
+    x, y, _, _ = rows(300, 3)
+    df = spark.createDataFrame([(i, *map(float, v), int(t), i % 2) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, label int, fold int")
+    ms = [Booster(rounds=4, depth=None, sample=0.7, fold=0), Booster(rounds=3, depth=3, features="sqrt", rate=0.5, fold=1), Booster(rounds=40, rate=2.0, leaves=6, fold=1, patience=3)]
+    one, other = (boosting.fit(df, ["a", "b", "c"], ms, "id", fold="fold", apart=a) for a in (True, False))
+    for a, b in zip(one, other, strict=True):
+        assert a.loss == pytest.approx(b.loss) and a.accuracy == pytest.approx(b.accuracy) and len(a.trees) == len(b.trees)
+        assert [t.feature.tolist() for t in a.trees] == [t.feature.tolist() for t in b.trees]
